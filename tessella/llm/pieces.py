@@ -27,7 +27,8 @@ from tessella.llm.common import map_arrow
 
 MARK = "▁"
 NONE = np.int64(1 << 40)
-CACHE_WORDS = 500_000  # words a worker remembers; beyond, only those of its last batch stay
+STEP = 500
+CACHE_WORDS = 400_000  # words a worker remembers; beyond, only those of its last batch stay
 
 
 class PieceModel:
@@ -241,7 +242,9 @@ def encode(docs: DataFrame, model: PieceModel, texts: bool = True) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(shared.value)
-        got = c.run(batch.column("text").to_pylist())
+        got = []
+        for k in range(0, batch.num_rows, STEP):  # the words of few documents at a time are Python objects
+            got += c.run(batch.column("text").slice(k, STEP).to_pylist())
         lens = np.fromiter((len(x[0]) // 4 for x in got), np.int64, len(got))
         flat = pa.array(np.frombuffer(b"".join(x[0] for x in got), "<u4").astype(np.int32))
         cols = {
