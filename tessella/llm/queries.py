@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, decontaminate, pieces
+from tessella.llm import chat, decontaminate, pieces, simhash
 from tessella.llm.common import table
 
 
@@ -30,10 +30,15 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_sentencepiece": op2_sentencepiece,
     "op7_decontaminate": op7_decontaminate,
+    "op8_simhash": op8_simhash,
 }
 
 ORACLES: dict[str, str] = {}
