@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, decontaminate, langid, lines, pieces, simhash
+from tessella.llm import chat, decontaminate, langid, lines, pieces, quality, simhash
 from tessella.llm.common import doc_text, held_out, table
 
 
@@ -26,6 +26,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), pieces.default_model(), texts=False)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), ~held_out(5, 0))
+    return quality.score(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(doc_text(table(spark, sf_dir, "documents")), counts=True)
 
@@ -48,6 +54,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_sentencepiece": op2_sentencepiece,
+    "op4_quality": op4_quality,
     "op5_line_dedup": op5_line_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_simhash": op8_simhash,
