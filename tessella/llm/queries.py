@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, decontaminate, langid, lines, pieces, quality, simhash
+from tessella.llm import chat, decontaminate, langid, lines, pieces, pii, quality, simhash
 from tessella.llm.common import doc_text, held_out, table
 
 
@@ -36,6 +36,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(doc_text(table(spark, sf_dir, "documents")), counts=True)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op4_quality": op4_quality,
     "op5_line_dedup": op5_line_dedup,
+    "op6_pii": op6_pii,
     "op7_decontaminate": op7_decontaminate,
     "op8_simhash": op8_simhash,
     "op10_langid": op10_langid,
