@@ -21,6 +21,7 @@ empty table gives no rows. Columns that begin with ``_ld_`` are used up.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,21 +114,22 @@ def dedup(docs: DataFrame, divisor: int = DIVISOR, chunk_words: int = CHUNK_WORD
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("h", "bytes", "doc_id", "key", "s", "e")}
+            out: dict[str, list] = {c: [] for c in ("h", "bytes", "digest", "doc_id", "key", "s", "e")}
             cols = [batch.column(c).to_pylist() for c in ("doc_id", "_ld_key", "text", "_ld_runs")]
             for doc_id, key, text, marks in zip(*cols):
                 lines = _split(text)
                 for m in marks:
-                    for c, v in zip(out, (m["h"], b"\n".join(lines[m["s"] : m["e"]]), doc_id, key, m["s"], m["e"])):
+                    run = b"\n".join(lines[m["s"] : m["e"]])
+                    for c, v in zip(out, (m["h"], run, hashlib.md5(run).digest(), doc_id, key, m["s"], m["e"])):
                         out[c].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], list(out))
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], list(out))
 
     # mapInArrow keeps all columns, so that both joins with the documents can share one exchange
-    occurrences = keyed.join(runs, F.col("_ld_key") == F.col("_ld_k")).mapInArrow(texts, "h long, bytes binary, doc_id long, key long, s int, e int")
-    occurrences = checkpointed(occurrences)
+    occurrences = keyed.join(runs, F.col("_ld_key") == F.col("_ld_k")).mapInArrow(texts, "h long, bytes binary, digest binary, doc_id long, key long, s int, e int")
     place = F.struct(F.col("doc_id"), F.col("key"), F.col("s"))
-    first = occurrences.groupBy("h", "bytes").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("h2"), F.col("bytes").alias("b2"), "first")
-    later = occurrences.join(first, (F.col("h") == F.col("h2")) & (F.col("bytes") == F.col("b2"))).where(~place.eqNullSafe(F.col("first")))
+    first = occurrences.groupBy("h", "bytes").agg(F.min(place).alias("first"), F.min("digest").alias("d2"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("h2"), "d2", "first")
+    # bytes made the groups; a run finds its group by its digests, so that text is not shuffled again
+    later = occurrences.join(first, (F.col("h") == F.col("h2")) & (F.col("digest") == F.col("d2"))).where(~place.eqNullSafe(F.col("first")))
     cuts = later.groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("_ld_cuts")).withColumnRenamed("key", "_ld_k")
     names_out = list(docs.columns)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
