@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, decontaminate, langid, lines, pieces, pii, quality, simhash
+from tessella.llm import chat, decontaminate, langid, lines, lm, pieces, pii, quality, simhash
 from tessella.llm.common import doc_text, held_out, table
 
 
@@ -48,6 +48,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out(7, 2))
+    model, counts = lm.train(docs, ~F.col("held_out"))
+    return lm.score(docs, model, counts, ["held_out"])
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(langid.sample(docs, ~held_out(5, 0)))
@@ -63,6 +69,7 @@ QUERIES = {
     "op6_pii": op6_pii,
     "op7_decontaminate": op7_decontaminate,
     "op8_simhash": op8_simhash,
+    "op9_lm": op9_lm,
     "op10_langid": op10_langid,
 }
 
