@@ -48,14 +48,15 @@ def merged_batches(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterato
         yield pa.Table.from_batches(held)
 
 
-def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a folder below the warehouse."""
+    sc = spark.sparkContext
+    return sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests, a
-    laptop) is one made below the warehouse folder.
-    """
+def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cuts lineage with a reliable checkpoint in the cluster's shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager)
