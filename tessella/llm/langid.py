@@ -139,9 +139,12 @@ def fit(samples: list[tuple[str, str]], epochs: int = 4, rate: float = 1.0, reje
 def sample(docs: DataFrame, use: Column, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> list[tuple[str, str]]:
     """(text, lang) of the rows that ``use`` marks: for each language those least by a hash of text."""
     rows = docs.where(use & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs)
-    rows = rows.join(F.broadcast(top.select(F.col("lang").alias("l"))), F.col("lang") == F.col("l")).select("text", "lang")  # max_langs rows
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
+    top = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    top = top.select(F.col("lang").alias("l"), (8 * per_lang / F.col("n") * (1 << 32)).alias("below"))
+    rows = rows.withColumn("hash", F.pmod(F.xxhash64("text"), F.lit(1 << 32))).join(F.broadcast(top), F.col("lang") == F.col("l"))  # max_langs rows
+    # eight times the share that is wanted goes on, so that a frequent language is no large group
+    rows = rows.where("hash < below").select("text", "lang", "hash")
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("hash", "text"))
     return [(r.text, r.lang) for r in rows.withColumn("k", rank).where(F.col("k") <= per_lang).collect()]
 
 
