@@ -22,7 +22,7 @@ from tessella.llm.common import held_out, shared_folder, table
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised with enough confidence."""
     model = langid.fit(langid.sample(docs, ~held_out(5, 0)))
-    return langid.identify(docs, model).where("not rejected").select(docs.columns)
+    return langid.recognised(docs, model)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,6 +18,13 @@ def doc_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def shielded(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all columns but ``keep`` under names no operator uses, and the way back to its own columns."""
+    names = docs.columns
+    hidden = [c if c in keep else f"_x{k}" for k, c in enumerate(names)]
+    return docs.toDF(*hidden), lambda df: df.select([F.col(h).alias(c) for h, c in zip(hidden, names)])
+
+
 def held_out(buckets: int, value: int, column: str = "doc_id"):
     """crc32 of the id as text, modulo ``buckets``, equals ``value``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % buckets == value

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import map_arrow
+from tessella.llm.common import map_arrow, shielded
 
 #: bytes: letters of any case and digits stay (A-Z lowered), everything else ASCII parts words
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -257,7 +257,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, drop_share: f
     """``docs`` without documents that have ``drop_share`` of their words hit or more; others lose the spans hit."""
     cut = F.udf(lambda t, s: cut_spans(t, [(x.start, x.end) for x in s]) if s else t, "string")
     hits = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    found = scan(docs, benchmark, window).withColumn("_hit", hits)
+    hidden, back = shielded(docs, ("text",))
+    found = scan(hidden, benchmark, window).withColumn("_hit", hits)
     kept = found.where(~((F.col("_hit") > 0) & (F.col("_hit") >= F.col("n_words") * F.lit(drop_share))))
     # only rows with hits reach Python once more
-    return kept.withColumn("text", F.when(F.size("spans") > 0, cut("text", "spans")).otherwise(F.col("text"))).select(docs.columns)
+    return back(kept.withColumn("text", F.when(F.size("spans") > 0, cut("text", "spans")).otherwise(F.col("text"))))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.llm.common import map_arrow
+from tessella.llm.common import map_arrow, shielded
 
 UND = "und"
 BUCKETS = 1 << 15
@@ -159,3 +159,9 @@ def identify(docs: DataFrame, model: LangModel) -> DataFrame:
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return map_arrow(docs, run, fields + ", lang_pred string, score double, rejected boolean")
+
+
+def recognised(docs: DataFrame, model: LangModel) -> DataFrame:
+    """``docs``, all columns as they are, without the rows that the model rejects."""
+    hidden, back = shielded(docs, ("text",))
+    return back(identify(hidden, model).where("not rejected"))

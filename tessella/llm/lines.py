@@ -15,8 +15,9 @@ occurrence (by doc_id, then row, then line) lose their lines.
 
 Defined cases: null stays null and empty stays empty; a text that only repeats
 others becomes empty, its row stays; blank lines count as lines; rows that
-repeat both doc_id and text are one document; a null doc_id comes first; an
-empty table gives no rows. Columns that begin with ``_ld_`` are used up.
+repeat both doc_id and text are one document; a null doc_id comes first; where
+occurrences overlap within a text, all lines from the second on go; an empty
+table gives no rows. Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import checkpointed
+from tessella.llm.common import checkpointed, shielded
 
 WIDTH = 2
 DIVISOR = 4
@@ -94,7 +95,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, divisor: int = DIVISOR, chunk_words: int = CHUNK_WORDS, passage_words: int = PASSAGE_WORDS, counts: bool = False) -> DataFrame:
     """``docs`` with repeated chunks cut from ``text``; with ``counts`` also n_lines, n_removed (lines)."""
-    keyed = _keyed(docs)
+    hidden, back = shielded(docs, ("doc_id", "text"))
+    keyed = _keyed(hidden)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,8 +133,8 @@ def dedup(docs: DataFrame, divisor: int = DIVISOR, chunk_words: int = CHUNK_WORD
     # bytes made the groups; a run finds its group by its digests, so that text is not shuffled again
     later = occurrences.join(first, (F.col("h") == F.col("h2")) & (F.col("digest") == F.col("d2"))).where(~place.eqNullSafe(F.col("first")))
     cuts = later.groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("_ld_cuts")).withColumnRenamed("key", "_ld_k")
-    names_out = list(docs.columns)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+    names_out = list(hidden.columns)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in hidden.schema]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,4 +154,5 @@ def dedup(docs: DataFrame, divisor: int = DIVISOR, chunk_words: int = CHUNK_WORD
             yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = ", ".join(fields) + (", n_lines long, n_removed long" if counts else "")
-    return keyed.join(cuts, F.col("_ld_key") == F.col("_ld_k"), "left").mapInArrow(cut, schema)
+    out = keyed.join(cuts, F.col("_ld_key") == F.col("_ld_k"), "left").mapInArrow(cut, schema)
+    return out.toDF(*docs.columns, "n_lines", "n_removed") if counts else back(out)

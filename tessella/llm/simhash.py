@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import checkpointed, doc_text, map_arrow
+from tessella.llm.common import checkpointed, doc_text, map_arrow, shielded
 from tessella.llm.components import components, forest
 
 SHINGLE = 3
@@ -168,5 +168,6 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
 
 def keep_one(docs: DataFrame, radius: int = 2) -> DataFrame:
     """``docs`` without documents that have a smaller doc_id in their component."""
-    gone = near_duplicates(docs, radius).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    hidden, back = shielded(docs, ("doc_id", "text"))
+    gone = near_duplicates(hidden, radius).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone"))
+    return back(hidden.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti"))
