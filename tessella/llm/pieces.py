@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -23,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import map_arrow
+from tessella.llm.common import doc_text
 
 MARK = "▁"
 NONE = np.int64(1 << 40)
 STEP = 500
-CACHE_WORDS = 400_000  # words a worker remembers; beyond, only those of its last batch stay
+CACHE_WORDS = 200_000  # words a worker remembers; beyond, only those of its last batch stay
 
 
 class PieceModel:
@@ -240,30 +241,28 @@ def encode(docs: DataFrame, model: PieceModel, texts: bool = True) -> DataFrame:
     """doc_id, ids array<int>, ids_sha256, decoded_sha256, and with ``texts`` the text decoded from the ids."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is the vocabulary's
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        c = codec(shared.value)
-        got = []
-        for k in range(0, batch.num_rows, STEP):  # the words of few documents at a time are Python objects
-            got += c.run(batch.column("text").slice(k, STEP).to_pylist())
+    def made(rows: pa.RecordBatch) -> pa.RecordBatch:
+        got = codec(shared.value).run(rows.column("text").to_pylist())
         lens = np.fromiter((len(x[0]) // 4 for x in got), np.int64, len(got))
-        flat = pa.array(np.frombuffer(b"".join(x[0] for x in got), "<u4").astype(np.int32))
         cols = {
-            "doc_id": batch.column("doc_id"),
+            "doc_id": rows.column("doc_id"),
             "n_tokens": pa.array(lens),
             "ids_sha256": pa.array([hashlib.sha256(x[0]).hexdigest() for x in got]),
             "decoded_sha256": pa.array([hashlib.sha256(x[1]).hexdigest() for x in got]),
         }
         if texts:
+            flat = pa.array(np.frombuffer(b"".join(x[0] for x in got), "<u4").astype(np.int32))
             cols["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), flat)
             cols["decoded"] = pa.array([x[1].decode("utf-8", "replace") for x in got])
         return pa.RecordBatch.from_pydict(cols)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, STEP):  # few documents' words and ids are held at a time
+                yield made(batch.slice(k, STEP))
+
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return map_arrow(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")),
-        run,
-        schema + (", ids array<int>, decoded string" if texts else ""),
-    )
+    return doc_text(docs).mapInArrow(run, schema + (", ids array<int>, decoded string" if texts else ""))
 
 
 def decode(df: DataFrame, model: PieceModel, column: str = "ids") -> DataFrame:
