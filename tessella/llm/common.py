@@ -41,6 +41,13 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     return df.mapInArrow(run, schema)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows, ``rows`` at a time: bounds the Python objects that are alive at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def merged_batches(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[pa.Table]:
     """Joins consecutive batches into tables of about ``max_bytes``."""
     held, size = [], 0

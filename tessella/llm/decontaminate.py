@@ -187,20 +187,24 @@ def shards(benchmark: DataFrame, window: int, shard_words: int = SHARD_WORDS) ->
 SCAN = "doc_id long, text string, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
 
 
-def _scan_shard(docs: DataFrame, automaton: Automaton, text: bool) -> DataFrame:
+def _scan_shard(docs: DataFrame, automaton: Automaton, text: bool, cut: bool = False) -> DataFrame:
+    """With ``text`` the text stays, with ``cut`` without the spans hit."""
     shared = docs.sparkSession.sparkContext.broadcast(automaton)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         a = shared.value
-        n, spans, items = [], [], []
+        n, spans, items, texts = [], [], [], []
         for t in batch.column("text").to_pylist():
             w = words_of(t)
             s, k = a.scan(w)
             n.append(len(w))
             spans.append([{"start": x, "end": y} for x, y in s])
             items.append(sorted(a.ids[j] for j in k))
+            texts.append(cut_spans(t, s) if s and cut else t if cut else None)
         cols = {name: batch.column(name) for name in batch.schema.names if name != "text" or text}
         cols |= {"n_words": pa.array(n, pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), "items": pa.array(items, pa.list_(pa.string()))}
+        if cut:
+            cols["text"] = pa.array(texts, pa.string())
         return pa.RecordBatch.from_pydict(cols)
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text" or text]
@@ -209,7 +213,10 @@ def _scan_shard(docs: DataFrame, automaton: Automaton, text: bool) -> DataFrame:
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_words: int = SHARD_WORDS, text: bool = True) -> DataFrame:
     """The columns of ``docs`` with n_words, spans (word ranges hit) and items (ids met, sorted as strings)."""
-    automata = shards(benchmark, window, shard_words)
+    return _scan_shards(docs, shards(benchmark, window, shard_words), window, text)
+
+
+def _scan_shards(docs: DataFrame, automata: list[Automaton], window: int, text: bool) -> DataFrame:
     if len(automata) == 1:
         return _scan_shard(docs, automata[0], text)
     keyed = docs.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
@@ -253,12 +260,15 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return (b"".join(out) + data[last:]).decode("utf-8", "replace")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, drop_share: float = 0.05) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, drop_share: float = 0.05, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``docs`` without documents that have ``drop_share`` of their words hit or more; others lose the spans hit."""
-    cut = F.udf(lambda t, s: cut_spans(t, [(x.start, x.end) for x in s]) if s else t, "string")
     hits = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     hidden, back = shielded(docs, ("text",))
-    found = scan(hidden, benchmark, window).withColumn("_hit", hits)
-    kept = found.where(~((F.col("_hit") > 0) & (F.col("_hit") >= F.col("n_words") * F.lit(drop_share))))
-    # only rows with hits reach Python once more
-    return back(kept.withColumn("text", F.when(F.size("spans") > 0, cut("text", "spans")).otherwise(F.col("text"))))
+    automata = shards(benchmark, window, shard_words)
+    if len(automata) == 1:
+        found = _scan_shard(hidden, automata[0], True, cut=True)
+    else:
+        cut = F.udf(lambda t, s: cut_spans(t, [(x.start, x.end) for x in s]) if s else t, "string")
+        found = _scan_shards(hidden, automata, window, True).withColumn("text", cut("text", "spans"))
+    hit = found.withColumn("_hit", hits)
+    return back(hit.where(~((F.col("_hit") > 0) & (F.col("_hit") >= F.col("n_words") * F.lit(drop_share)))))

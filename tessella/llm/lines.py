@@ -31,12 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import checkpointed, shielded
+from tessella.llm.common import checkpointed, shielded, sliced
 
 WIDTH = 2
 DIVISOR = 4
 CHUNK_WORDS = 20
 PASSAGE_WORDS = 50
+STEP = 500
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 1 << 64)
 
@@ -99,7 +100,7 @@ def dedup(docs: DataFrame, divisor: int = DIVISOR, chunk_words: int = CHUNK_WORD
     keyed = _keyed(hidden)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, STEP):
             keys, starts, ends, hashes = [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for s, e, h in candidates_of(_split(text), divisor, chunk_words, passage_words):
@@ -115,7 +116,7 @@ def dedup(docs: DataFrame, divisor: int = DIVISOR, chunk_words: int = CHUNK_WORD
     runs = runs.withColumnRenamed("_ld_key", "_ld_k")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, STEP):
             out: dict[str, list] = {c: [] for c in ("h", "bytes", "digest", "doc_id", "key", "s", "e")}
             cols = [batch.column(c).to_pylist() for c in ("doc_id", "_ld_key", "text", "_ld_runs")]
             for doc_id, key, text, marks in zip(*cols):
@@ -137,7 +138,7 @@ def dedup(docs: DataFrame, divisor: int = DIVISOR, chunk_words: int = CHUNK_WORD
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in hidden.schema]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, STEP):
             text, removed, total = [], [], []
             for t, marks in zip(batch.column("text").to_pylist(), batch.column("_ld_cuts").to_pylist()):
                 lines = _split(t) if marks or counts else []

@@ -262,7 +262,8 @@ def score(docs: DataFrame, model: LmModel, counts: DataFrame, extra: list[str] |
         m = shared.value
         head, vocabulary = m.head, m.ids
         for t in merged_batches(batches, BUFFER):
-            seqs, n_tokens, n_known, logs, other_logs, n_other, rest = [], [], [], [], [], [], []
+            seqs, n_tokens, n_known, logs, other_logs, n_other = [], [], [], [], [], []
+            rest_words, rest_counts, rest_at = [], [], [0]
             for text in t.column("text").to_pylist():
                 words = tokens_of(text)
                 ids = coded(m, words)
@@ -276,13 +277,16 @@ def score(docs: DataFrame, model: LmModel, counts: DataFrame, extra: list[str] |
                 outside = ids == LmModel.OTHER
                 n_other.append(int(outside.sum()))
                 other_logs.append(float(lg[outside[known]].sum()))
-                rest.append([{"word": w, "n": k} for w, k in Counter([words[k] for k in np.nonzero(~known)[0].tolist()]).items()])
+                rest = Counter([words[k] for k in np.nonzero(~known)[0].tolist()])
+                rest_words += rest
+                rest_counts += rest.values()
+                rest_at.append(len(rest_words))
             with np.errstate(over="ignore"):
                 gru = m.gru.score(seqs, 0)
             # ends and vocabulary words are all in the head, so what is joined later is outside the vocabulary
             gru += np.array(other_logs) - np.array(n_other) * np.log10(float(m.outside))
             cols = {c: t.column(c).combine_chunks() for c in ["doc_id", "row", *extra]}
-            cols |= {"n_tokens": pa.array(n_tokens, pa.int64()), "head_known": pa.array(n_known, pa.int64()), "logs": pa.array(logs), "gru": pa.array(gru), "rest": pa.array(rest, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))}
+            cols |= {"n_tokens": pa.array(n_tokens, pa.int64()), "head_known": pa.array(n_known, pa.int64()), "logs": pa.array(logs), "gru": pa.array(gru), "rest": pa.ListArray.from_arrays(pa.array(rest_at, pa.int32()), pa.StructArray.from_arrays([pa.array(rest_words, pa.binary()), pa.array(rest_counts, pa.int64())], ["word", "n"]))}
             yield pa.RecordBatch.from_pydict(cols)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"), *extra)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import doc_text
+from tessella.llm.common import doc_text, sliced
 
 MARK = "▁"
 NONE = np.int64(1 << 40)
@@ -257,9 +257,7 @@ def encode(docs: DataFrame, model: PieceModel, texts: bool = True) -> DataFrame:
         return pa.RecordBatch.from_pydict(cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, STEP):  # few documents' words and ids are held at a time
-                yield made(batch.slice(k, STEP))
+        yield from map(made, sliced(batches, STEP))  # few documents' words and ids are held at a time
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return doc_text(docs).mapInArrow(run, schema + (", ids array<int>, decoded string" if texts else ""))

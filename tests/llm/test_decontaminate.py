@@ -64,6 +64,9 @@ def test_clean_cuts_spans_and_drops_the_worst(spark, sf, texts, odd, nothing):
     docs = [(1, own(1, 600)), (2, own(2, 400) + ", " + item.upper() + "! " + own(2, 400)), (3, own(3, 30) + " " + item), (4, None)]
     got = {r.doc_id: r.text for r in D.clean(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
     assert got == {1: docs[0][1], 2: own(2, 400) + ", ! " + own(2, 400), 4: None}
+    two = bench.unionAll(spark.createDataFrame([(2, "some other item of words")], bench.schema))
+    sharded = D.clean(spark.createDataFrame(docs, "doc_id long, text string"), two, shard_words=20)
+    assert {r.doc_id: r.text for r in sharded.collect()} == got
     out = D.clean(odd, bench)
     assert out.columns == odd.columns and sorted(map(str, out.collect())) == sorted(map(str, odd.collect()))
     assert D.clean(nothing, bench).count() == 0
