@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
 LINE_END = r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
+# Chunk columns and filters are only right with exactly these.
 CHARS_PER_TOKEN = 4
 REGION = "New York"
 FIGURE_MARKS = ("[Figure", "[Flowchart", "[Process Steps]")
@@ -92,6 +93,7 @@ def _found(c: Column, pattern: str, group: int = 1) -> Column:
     return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
 
 
+# Where a document names its source.
 LINK = r"(?iud)Source PDF[^\[\n]*\[([^\]]+)\]\(([^)\n]+)\)"
 PLAIN = r"(?iud)Source PDF[^h\n]*(https?://[^\s)\n]+)"
 

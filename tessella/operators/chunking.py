@@ -18,11 +18,22 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 
+# Chunks are only right with exactly these sizes, labels and patterns.
 MAX_CHARS = 2400
 OVERLAP = 320
 SEPARATORS = ("\n\n", ". ", "\n")
-PROCESS_ORDER = ("NUMBER", "NAME", "DEFINITION", None, "RULES", "INPUTS", "OUTPUTS")
-PROCESS_KEYS = (*(f"PROCESS {k}" if k else "TRIGGER(S)" for k in PROCESS_ORDER), "SUB OR PRECEDING PROCESSES", "COMMENTS", "COMMENT")
+PROCESS_KEYS = (
+    "PROCESS NUMBER",
+    "PROCESS NAME",
+    "PROCESS DEFINITION",
+    "TRIGGER(S)",
+    "PROCESS RULES",
+    "PROCESS INPUTS",
+    "PROCESS OUTPUTS",
+    "SUB OR PRECEDING PROCESSES",
+    "COMMENTS",
+    "COMMENT",
+)
 _SYMBOLS = re.compile("[☒✓□]")
 _ANY_CASE_ALL = re.IGNORECASE | re.DOTALL
 _ROW = re.compile("<tr[^>]*>(.*?)</tr>", _ANY_CASE_ALL)

@@ -2,6 +2,615 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.functions import text as T
+from tessella.operators import chunking as C
+from tessella.operators import indexing as I
+from tessella.operators import layout as L
+from tessella.operators import retrieval as R
+from tessella.operators import sessions as S
+from tessella.plans import inputs
+from tessella.plans.inputs import CONTENT_TYPE_SQL, NOW, SQL, WS, sql_strip, table
+from tessella.sources import files
+from tessella.streaming import ingest
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 FLAGSHIP = "retrieval_context"
+QUESTION = "Which general public license version applies to the work?"
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with the SQL that gives the same rows."""
+
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def shared_folder(spark: SparkSession) -> str:
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+    return f"{base}/{uuid.uuid4().hex}"
+
+
+# Text and chunk columns
+
+
+@query("SELECT doc_id, CAST(length(text) // 4 AS INTEGER) AS token_estimate FROM documents")
+def token_estimate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("token_estimate"))
+
+
+@query(f"SELECT doc_id, {CONTENT_TYPE_SQL} AS content_type FROM (SELECT doc_id, text AS c FROM documents)")
+def content_type(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.content_type(F.col("text")).alias("content_type"))
+
+
+MARKED = "concat(CASE WHEN doc_id % 3 = 0 THEN concat('[Figure Caption] c', chr(10)) WHEN doc_id % 3 = 1 THEN concat('OWNER NAME: x', chr(10)) ELSE '' END, coalesce(text, ''))"
+
+
+@query(
+    f"""SELECT doc_id, strpos(c, '|') > 0 OR regexp_matches(c, '(?m)^[A-Z ]{{4,}}:{WS}') AS has_table,
+ strpos(c, '[Figure Caption]') > 0 OR strpos(c, '[Figure Description]') > 0 OR strpos(c, '[Figure Content]') > 0 AS has_figure FROM (SELECT doc_id, {MARKED} AS c FROM documents)"""
+)
+def content_flags(spark, sf_dir):
+    c = F.expr(MARKED)
+    return table(spark, sf_dir, "documents").select("doc_id", T.has_table(c).alias("has_table"), T.has_figure(c).alias("has_figure"))
+
+
+ID_SQL = """concat_ws('_', regexp_replace(regexp_replace({stem}, '[^A-Za-z0-9_\\-=]+', '_', 'g'), '^_+|_+$', '', 'g'), lpad(CAST({i} AS VARCHAR), CAST(greatest(4, length(CAST({i} AS VARCHAR))) AS INTEGER), '0'),
+ substr(md5({src} || ':' || {i} || ':' || substr({c}, 1, 80)), 1, 12))"""
+
+
+@query(f"SELECT doc_id, {ID_SQL.format(stem="source || ' (v1)'", i='doc_id', src="source || ' (v1).md'", c="coalesce(text, '')")} AS chunk_id FROM documents")
+def chunk_id(spark, sf_dir):
+    name = F.concat("source", F.lit(" (v1).md"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.chunk_id(name, F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("chunk_id"))
+
+
+HEAD = """concat(CASE WHEN doc_id % 2 = 0 THEN concat('Source PDF: [', source, '.pdf](https://x.org/', doc_id, ')') ELSE concat('Source PDF at https://x.org/d/', doc_id, '.pdf?v=1') END, chr(10), 'Total Pages: ', doc_id % 90, chr(10),
+ 'total tables = ', doc_id % 7, chr(10), 'Version ', doc_id % 9, '.1', chr(10), 'Case 98-M-', doc_id, chr(10), 'Submitted: May ', doc_id % 30, chr(10), coalesce(text, ''))"""
+
+
+@query(
+    f"""SELECT doc_id, CASE WHEN regexp_matches(h, '(?i)Source PDF[^\\[\\n]*\\[') THEN regexp_extract(h, '(?i)Source PDF[^\\[\\n]*\\[([^\\]]+)\\]\\(([^)\\n]+)\\)', 1) ELSE doc_id || '.pdf' END AS source_pdf_name,
+ CASE WHEN regexp_matches(h, '(?i)Source PDF[^\\[\\n]*\\[') THEN regexp_extract(h, '(?i)Source PDF[^\\[\\n]*\\[([^\\]]+)\\]\\(([^)\\n]+)\\)', 2) ELSE regexp_extract(h, '(?i)Source PDF[^h\\n]*(https?://[^\\s)\\n]+)', 1) END AS source_pdf_url,
+ CAST(regexp_extract(h, '(?i)Total Pages[^0-9\\n]*([0-9]+)', 1) AS INTEGER) AS total_pages, CAST(regexp_extract(h, '(?i)Total Tables[^0-9\\n]*([0-9]+)', 1) AS INTEGER) AS total_tables,
+ regexp_extract(b, '(?i)VERSION\\s+([0-9.]+)', 1) AS doc_version, regexp_extract(b, '(?i)Case\\s+([0-9-]+[A-Z]-[0-9]+)', 1) AS case_number, trim(regexp_extract(t, '(?i)Submitted:\\s*([^\\n"*]+)', 1)) AS submitted
+ FROM (SELECT doc_id, substr(t, 1, 3000) AS h, substr(t, 1, 8000) AS b, t FROM (SELECT doc_id, {HEAD} AS t FROM documents))"""
+)
+def doc_metadata(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(HEAD).alias("t"))
+    return docs.select("doc_id", *[c.alias(k) for k, c in T.doc_metadata(F.col("t")).items()])
+
+
+@query("SELECT page_id, regexp_replace(regexp_replace(url, '[^A-Za-z0-9_\\-]', '_', 'g'), '^_+|_+$', '', 'g') AS safe_name FROM pages")
+def safe_name(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.safe_name(F.col("url")).alias("safe_name"))
+
+
+# Splitting, parsing, packing
+
+
+def _rfind(sep: str) -> str:
+    """0-based place of the last ``sep`` in the window w, -1 without one."""
+    n = f"length({sep})"
+    return f"CASE WHEN strpos(reverse(w), reverse({sep})) = 0 THEN -1 ELSE length(w) - strpos(reverse(w), reverse({sep})) - {n} + 1 END"
+
+
+def split_sql(source: str, key: str) -> str:
+    """Recursive CTE pieces(key, step, piece) of ``source`` (key, t)."""
+    stop = f"""CASE WHEN pos + 2400 >= length(t) THEN pos + 2400 WHEN {_rfind("chr(10) || chr(10)")} > 320 THEN pos + {_rfind("chr(10) || chr(10)")} + 2
+ WHEN {_rfind("'. '")} > 320 THEN pos + {_rfind("'. '")} + 2 WHEN {_rfind("chr(10)")} > 320 THEN pos + {_rfind("chr(10)")} + 1 ELSE pos + 2400 END"""
+    return f"""src AS MATERIALIZED ({source}), walk AS (SELECT {key}, t, 0 AS step, CAST(0 AS BIGINT) AS pos, CASE WHEN length(t) <= 2400 THEN CAST(2400 AS BIGINT) ELSE stop0 END AS stop
+ FROM (SELECT {key}, t, {stop} AS stop0 FROM (SELECT {key}, t, CAST(0 AS BIGINT) AS pos, substr(t, 1, 2400) AS w FROM src))
+ UNION ALL SELECT {key}, t, step, pos, {stop} AS stop FROM (SELECT {key}, t, step + 1 AS step, stop - 320 AS pos, substr(t, stop - 320 + 1, 2400) AS w FROM walk WHERE length(t) > 2400 AND stop - 320 < length(t))),
+ pieces AS (SELECT {key}, step, CASE WHEN length(t) <= 2400 THEN t ELSE {sql_strip("substr(t, pos + 1, stop - pos)")} END AS piece FROM walk WHERE {sql_strip("substr(t, pos + 1, stop - pos)")} <> '')"""
+
+
+SPLIT_SQL = split_sql("SELECT doc_id, coalesce(text, '') AS t FROM documents", "doc_id")
+
+
+@query(f"WITH RECURSIVE {SPLIT_SQL} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1 AS INTEGER) AS piece_no, piece AS content FROM pieces")
+def split_overlap(spark, sf_dir):
+    return C.split_documents(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+LINES_SQL = r"regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]')"
+TURN_BLOCKS = f"""turns AS (SELECT conv_id, turn, role, text, CAST(turn + 1 AS INTEGER) AS p, CAST(coalesce(lead(turn) OVER (PARTITION BY conv_id ORDER BY turn), turn) + 1 AS INTEGER) AS q FROM conversations),
+ each AS (SELECT conv_id, turn, role, p, q, unnest({LINES_SQL}) AS line, generate_subscripts({LINES_SQL}, 1) AS n FROM turns),
+ blocks AS (SELECT conv_id, turn, role, p, q, {sql_strip("line")} AS block, n FROM each WHERE {sql_strip("line")} <> '')"""
+
+
+@query(
+    f"""WITH {TURN_BLOCKS} SELECT 'conversation ' || conv_id || '.md' AS source, CAST(dense_rank() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS section_no,
+ CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY n) - 1 AS INTEGER) AS block_no, 'Conversation ' || conv_id || ' > ' || role AS headings, p AS page_start, q AS page_end, 'text' AS kind, block AS text FROM blocks"""
+)
+def markdown_blocks(spark, sf_dir):
+    return C.markdown_blocks(inputs.markdown(spark, sf_dir), ["source"]).withColumn("headings", F.array_join("headings", " > "))
+
+
+@query("SELECT conv_id, string_agg(role, ' > ' ORDER BY turn) AS section FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n <= 3 GROUP BY conv_id")
+def heading_breadcrumb(spark, sf_dir):
+    """A level deeper at each of three turns: the stack holds all three roles."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("turn", "role"))), 1, 3).alias("t"))
+    heads = F.transform("t", lambda x, i: F.struct((i + 1).alias("lvl"), x["role"].alias("txt")))
+    return turns.select("conv_id", C.breadcrumb(C.heading_stack(heads))["section"].alias("section"))
+
+
+PARAGRAPHS = f"""paragraphs AS (SELECT conv_id, turn, role, p, q, string_agg(block, chr(10) || chr(10) ORDER BY n) AS t FROM blocks GROUP BY conv_id, turn, role, p, q)"""
+CHUNKS_SQL = f"""{TURN_BLOCKS}, {PARAGRAPHS}, {split_sql("SELECT conv_id || '/' || turn AS k, t FROM paragraphs", "k")},
+ chunks AS (SELECT conv_id, role, p, q, trim(piece, chr(10)) AS content, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, step) - 1 AS INTEGER) AS chunk_index FROM pieces JOIN paragraphs ON k = conv_id || '/' || turn)"""
+
+
+@query(
+    f"""WITH RECURSIVE {CHUNKS_SQL} SELECT {ID_SQL.format(stem="'conversation ' || conv_id", i="chunk_index", src="'conversation ' || conv_id || '.md'", c="content")} AS chunk_id, 'conversation ' || conv_id || '.md' AS source, chunk_index, p AS page_start, q AS page_end,
+ 2 AS heading_level, 'Conversation ' || conv_id AS topic, role AS subtopic, role AS section_title, 'Conversation ' || conv_id || ' > ' || role AS section, 'New York' AS region, 'conversations' AS energy_utility_name, content,
+ {CONTENT_TYPE_SQL.replace("(c,", "(content,")} AS content_type, CAST(length(content) // 4 AS INTEGER) AS token_estimate FROM chunks"""
+)
+def chunk_documents(spark, sf_dir):
+    rows = C.chunk_documents(inputs.markdown(spark, sf_dir))
+    kept = ("chunk_id", "source", "chunk_index", "page_start", "page_end", "heading_level", "topic", "subtopic", "section_title", "section", "region", "energy_utility_name", "content", "content_type")
+    return rows.select(*kept, F.col("metadata.token_estimate").alias("token_estimate"))
+
+
+@query(
+    """SELECT conv_id, string_agg(k || ': ' || v, chr(10) ORDER BY o) AS content FROM (SELECT conv_id, CASE turn % 3 WHEN 0 THEN 'PROCESS NAME' WHEN 1 THEN 'PROCESS NUMBER' ELSE 'Owner' END AS k, role AS v, CASE turn % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 3 END AS o
+ FROM conversations WHERE turn < 3) GROUP BY conv_id"""
+)
+def process_table(spark, sf_dir):
+    """Three turns of every conversation as a process table, in the order of the keys."""
+    key = F.when(F.col("turn") == 0, "PROCESS NAME:").when(F.col("turn") == 1, "PROCESS NUMBER").otherwise("Owner")
+    rows = table(spark, sf_dir, "conversations").where("turn < 3").select("conv_id", "turn", F.concat(F.lit("<tr><td>"), key, F.lit("</td><td>"), "role", F.lit("</td></tr>")).alias("r"))
+    html = rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "r"))), lambda x: x["r"]), "\n").alias("r"))
+    html = html.select("conv_id", F.concat(F.lit("<table>\n"), "r", F.lit("\n</table>")).alias("t"))
+    return C.markdown_blocks(html, ["conv_id"], "t").select("conv_id", F.col("text").alias("content"))
+
+
+@query()
+def pack_sections(spark, sf_dir):
+    """Windows over documents with tables between their lines; the tests hold packing against traced cases."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("source"), F.lit("u").alias("utility"), F.regexp_replace("text", r"\n", "\n| a | b |\n").alias("text"))
+    return C.chunk_documents(docs).select("source", "chunk_index", "content", "content_type", "table_count")
+
+
+# Sessions
+
+ROWS = SQL["session_rows"]
+
+
+@query(
+    f"""SELECT question, answer, cnt FROM (SELECT question, answer, row_number() OVER (PARTITION BY question ORDER BY created_at DESC, answer DESC) AS rn, count(*) OVER (PARTITION BY question) AS cnt
+ FROM ({ROWS}) WHERE question <> '' AND answer <> '') WHERE rn = 1 ORDER BY cnt DESC, question LIMIT 50"""
+)
+def faq(spark, sf_dir):
+    return S.faq(inputs.session_rows(spark, sf_dir))
+
+
+@query(
+    f"""SELECT session_id, msg_id, question, answer, feedback, created_at FROM (SELECT *, row_number() OVER (PARTITION BY session_id, msg_id ORDER BY question <> '' DESC, created_at DESC, question DESC, answer DESC) AS n FROM ({ROWS})) WHERE n = 1"""
+)
+def session_dedupe(spark, sf_dir):
+    return S.latest_rows(inputs.session_rows(spark, sf_dir))
+
+
+UPDATES = "SELECT 's' || CASE WHEN doc_id % 2 = 0 THEN 'en' ELSE 'zz' END AS session_id, 'm' || (doc_id % 60) AS msg_id, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS feedback, doc_id AS seq FROM labels"
+
+
+@query(
+    f"""WITH r AS ({ROWS}), u AS (SELECT session_id AS s, msg_id AS m, arg_max(feedback, seq) AS f FROM ({UPDATES}) GROUP BY 1, 2)
+ SELECT session_id, msg_id, question, answer, CASE WHEN s IS NULL THEN feedback ELSE f END AS feedback, created_at FROM r LEFT JOIN u ON session_id = s AND msg_id = m
+ UNION ALL SELECT s, m, '', '', f, '{NOW}' FROM u WHERE NOT EXISTS (SELECT 1 FROM r WHERE session_id = s AND msg_id = m)"""
+)
+def feedback_upsert(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    updates = labels.select(
+        F.when(F.col("doc_id") % 2 == 0, "sen").otherwise("szz").alias("session_id"),
+        F.concat(F.lit("m"), (F.col("doc_id") % 60).cast("string")).alias("msg_id"),
+        F.when(F.col("quality") == 1, "good").otherwise("bad").alias("feedback"),
+        F.col("doc_id").alias("seq"),
+    )
+    return S.upsert_feedback(inputs.session_rows(spark, sf_dir), updates, NOW)
+
+
+FLAT_SQL = f"""SELECT 'c' || conv_id AS session_id, 'm' || turn AS msg_id, text AS question, answer, CASE turn % 3 WHEN 0 THEN NULL WHEN 1 THEN 'good, ok' ELSE '{{"r": 1, "t": "a,b"}}' END AS feedback, '{NOW}' AS created_at
+ FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations) WHERE role = 'user'"""
+
+
+@query(FLAT_SQL)
+def session_flatten(spark, sf_dir):
+    return S.flatten(inputs.blobs(spark, sf_dir), NOW)
+
+
+@query(FLAT_SQL)
+def backup_stream(spark, sf_dir):
+    folder = shared_folder(spark)
+    inputs.blobs(spark, sf_dir).write.text(f"{folder}/in")
+    stream = spark.readStream.text(f"{folder}/in").withColumnRenamed("value", "raw")
+    ingest.backup(stream, f"{folder}/out", f"{folder}/checkpoint", NOW)
+    return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
+@query("SELECT conv_id, 1 AS n_sessions, CAST(conv_id AS VARCHAR) AS first_id FROM conversations GROUP BY conv_id UNION ALL SELECT -1 - conv_id, 0, NULL FROM conversations GROUP BY conv_id")
+def session_repair(spark, sf_dir):
+    """Session files with noise around the list, and files without one."""
+    ids = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    raw = ids.select("conv_id", F.concat(F.lit('noise [{"id":"'), F.col("conv_id").cast("string"), F.lit('"}]} tail')).alias("raw")).unionByName(ids.select((-1 - F.col("conv_id")).alias("conv_id"), F.lit("{broken").alias("raw")))
+    got = raw.select("conv_id", S.repair_sessions(F.col("raw")).alias("s"))
+    return got.select("conv_id", F.size("s").alias("n_sessions"), F.get_json_object(F.get("s", F.lit(0)), "$.id").alias("first_id"))
+
+
+@query(
+    f"""SELECT session_id, CAST(n + CASE WHEN session_id = 'sen' THEN 0 ELSE 1 END AS INTEGER) AS n_messages, CAST(CASE WHEN session_id = 'sen' THEN m3 ELSE 0 END AS INTEGER) AS n_rated
+ FROM (SELECT session_id, count(*) AS n, least(count(*) FILTER (msg_id = 'm3'), 1) AS m3 FROM ({ROWS}) WHERE session_id IS NOT NULL GROUP BY session_id)"""
+)
+def attach_feedback(spark, sf_dir):
+    """Feedback on message m3 of the session 'sen', and one message more in all others."""
+    rows = inputs.session_rows(spark, sf_dir).where("session_id is not null")
+    records = rows.groupBy("session_id").agg(F.array_sort(F.collect_list(S.message(F.col("msg_id"), F.col("question"), F.col("answer"), None, F.col("created_at")))).alias("messages"))
+    rated = S.attach_feedback(F.col("messages"), F.lit("m3"), F.lit("good"), NOW)
+    more = S.append_message(F.col("messages"), "new", "q", "a", NOW)
+    out = records.select("session_id", F.when(F.col("session_id") == "sen", rated).otherwise(more).alias("m"))
+    return out.select("session_id", F.size("m").alias("n_messages"), F.size(F.filter("m", lambda x: x["feedback"] == "good")).alias("n_rated"))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS id, conv_id AS position, CASE WHEN conv_id % 2 = 0 THEN 'new' ELSE 'old' END AS payload FROM conversations GROUP BY conv_id UNION ALL SELECT 'x' || conv_id, (SELECT max(conv_id) FROM conversations) + 1 + conv_id, 'new' FROM conversations GROUP BY conv_id")
+def put_sessions(spark, sf_dir):
+    ids = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    old = ids.select(F.col("conv_id").cast("string").alias("id"), F.col("conv_id").alias("position"), F.lit("old").alias("payload"))
+    new = lambda name, seq: ids.select(name.alias("id"), F.lit("new").alias("payload"), seq.alias("seq"))
+    number = F.col("conv_id").cast("string")
+    updates = new(number, F.col("conv_id")).where("id % 2 = 0").unionByName(new(F.concat(F.lit("x"), number), F.col("conv_id")))
+    return S.put_sessions(old, updates)
+
+
+# Listings
+
+PATHS = SQL["paths"]
+FILES = f"SELECT split_part(path, '/', 1) AS client, substr(path, strpos(path, '/') + 1) AS file, mtime, size FROM ({PATHS}) WHERE strpos(path, '/') > 0"
+PLAIN = f"SELECT * FROM ({FILES}) WHERE file NOT IN ('', '.keep') AND strpos(file, '/') = 0"
+
+
+@query(f"SELECT DISTINCT client FROM ({FILES})")
+def list_clients(spark, sf_dir):
+    return files.clients(inputs.paths(spark, sf_dir))
+
+
+@query(f"SELECT client, file FROM ({PLAIN}) WHERE file NOT LIKE 'read-%'")
+def list_uploaded(spark, sf_dir):
+    return files.uploaded_files(inputs.paths(spark, sf_dir))
+
+
+@query(f"SELECT client, substr(file, 6) AS file FROM ({PLAIN}) WHERE file LIKE 'read-%'")
+def list_processed(spark, sf_dir):
+    return files.processed_files(inputs.paths(spark, sf_dir))
+
+
+@query(f"SELECT DISTINCT client, regexp_replace(file, '^read-', '') AS file FROM ({PLAIN})")
+def list_all_files(spark, sf_dir):
+    return files.all_files(inputs.paths(spark, sf_dir))
+
+
+@query(
+    f"""WITH f AS ({PLAIN}), w AS (SELECT source AS client, doc_id || '.pdf' AS file FROM documents WHERE source IS NOT NULL)
+ SELECT w.client, w.file, w.client || '/' || CASE WHEN EXISTS (SELECT 1 FROM f WHERE f.client = w.client AND f.file = w.file) THEN w.file ELSE 'read-' || w.file END AS path, 'application/pdf' AS mime FROM w
+ WHERE EXISTS (SELECT 1 FROM f WHERE f.client = w.client AND f.file IN (w.file, 'read-' || w.file))"""
+)
+def view_files(spark, sf_dir):
+    wanted = table(spark, sf_dir, "documents").where("source is not null").select(F.col("source").alias("client"), F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("file"))
+    return files.view_files(wanted, inputs.paths(spark, sf_dir))
+
+
+MANIFEST = "SELECT path AS file, mtime, CASE WHEN mtime % 7 = 0 THEN size + 1 ELSE size END AS size FROM ({}) WHERE mtime % 2 = 0"
+
+
+@query(f"SELECT file, mtime, size FROM (SELECT path AS file, mtime, size FROM ({PATHS})) l WHERE NOT EXISTS (SELECT 1 FROM ({MANIFEST.format(PATHS)}) m WHERE m.file = l.file AND m.mtime = l.mtime AND m.size = l.size)")
+def pending_files(spark, sf_dir):
+    listed = inputs.paths(spark, sf_dir).withColumnRenamed("path", "file")
+    manifest = listed.where("mtime % 2 = 0").withColumn("size", F.expr("CASE WHEN mtime % 7 = 0 THEN size + 1 ELSE size END"))
+    return files.pending_files(listed, manifest)
+
+
+@query(f"SELECT DISTINCT lang || '/.keep' AS path FROM documents WHERE lang IS NOT NULL UNION SELECT source || '/.keep' FROM documents WHERE source || '/.keep' NOT IN (SELECT path FROM ({PATHS}))")
+def new_clients(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    names = docs.select(F.col("lang").alias("client")).union(docs.select("source")).where("client is not null")
+    return files.new_clients(names, inputs.paths(spark, sf_dir))
+
+
+@query(f"SELECT file FROM (SELECT path AS file, mtime FROM ({PATHS})) WHERE file NOT IN (SELECT path FROM ({PATHS}) WHERE mtime % 3 = 0)")
+def sync_missing(spark, sf_dir):
+    remote = inputs.paths(spark, sf_dir).select(F.col("path").alias("file"), "mtime")
+    return files.missing_locally(remote, remote.where("mtime % 3 = 0")).select("file")
+
+
+# Layout
+
+LAYOUT = SQL["layout"]
+PAGES = f"""lay AS ({LAYOUT}), raw AS (SELECT doc_id, content, n, unnest(range(n)) AS i FROM lay),
+ own AS (SELECT *, CASE WHEN i % 4 = 3 THEN (i - 1) * 1000 + greatest(least(990, length(content) - (i - 1) * 1000), 0) + 1 ELSE i * 1000 END AS s FROM raw),
+ pages AS (SELECT doc_id, CAST(i + 1 AS INTEGER) AS page_number, CAST(s AS INTEGER) AS page_start, CAST(coalesce(lead(s) OVER (PARTITION BY doc_id ORDER BY i), length(content)) AS INTEGER) AS page_end, content AS whole FROM own),
+ paras AS (SELECT doc_id, CAST(j AS INTEGER) AS paragraph_no, j * 700 AS a, j * 700 + greatest(least(650, length(content) - j * 700), 0) AS b FROM (SELECT doc_id, content, unnest(range(np)) AS j FROM lay))"""
+
+
+@query(f"WITH {PAGES} SELECT doc_id, page_number, page_start, page_end FROM pages")
+def page_ranges(spark, sf_dir):
+    return L.page_ranges(inputs.layout(spark, sf_dir)).drop("content")
+
+
+@query(f"WITH {PAGES} SELECT doc_id, page_number, substr(whole, page_start + 1, greatest(page_end - page_start, 0)) AS content FROM pages")
+def page_slices(spark, sf_dir):
+    return L.page_ranges(inputs.layout(spark, sf_dir)).select("doc_id", "page_number", "content")
+
+
+@query(f"WITH {PAGES} SELECT doc_id, page_number, paragraph_no FROM pages JOIN paras USING (doc_id) WHERE a < page_end AND b > page_start")
+def span_overlap_join(spark, sf_dir):
+    return L.paragraphs_on_page(inputs.layout(spark, sf_dir))
+
+
+@query(f"WITH lay AS ({LAYOUT}), t AS (SELECT doc_id, n, unnest(range((n - 1) // 3 + 1)) AS k FROM lay) SELECT doc_id, CAST(p AS INTEGER) AS page_number, CAST(k AS INTEGER) AS table_no FROM (SELECT doc_id, n, k, unnest([k * 3 + 1, k * 3 + 2]) AS p FROM t) WHERE p <= n")
+def tables_on_page(spark, sf_dir):
+    return L.tables_on_page(inputs.layout(spark, sf_dir))
+
+
+@query(f"SELECT doc_id, n AS total_pages, CAST((n - 1) // 3 + 1 AS INTEGER) AS total_tables, np AS total_paragraphs FROM ({LAYOUT})")
+def layout_totals(spark, sf_dir):
+    return L.totals(inputs.layout(spark, sf_dir))
+
+
+MD_TABLE = """rws AS (SELECT r_regionkey, r_name, CAST(n_nationkey AS VARCHAR) AS k, n_name || ' \\|x' AS v, n_nationkey AS o FROM region JOIN nation ON r_regionkey = n_regionkey),
+ wid AS (SELECT r_regionkey, r_name, greatest(3, max(length(k))) AS a, greatest(3, length(r_name), max(length(v))) AS b FROM rws GROUP BY r_regionkey, r_name),
+ md AS (SELECT r_regionkey, '| ' || rpad('key', CAST(a AS INTEGER), ' ') || ' | ' || rpad(wid.r_name, CAST(b AS INTEGER), ' ') || ' |     |' || chr(10) || '| ' || repeat('-', a) || ' | ' || repeat('-', b) || ' | --- |' || chr(10) ||
+ string_agg('| ' || rpad(k, CAST(a AS INTEGER), ' ') || ' | ' || rpad(v, CAST(b AS INTEGER), ' ') || ' |     |', chr(10) ORDER BY o) AS md FROM wid JOIN rws USING (r_regionkey) GROUP BY r_regionkey, wid.r_name, a, b)"""
+
+
+@query(f"WITH {MD_TABLE} SELECT r_regionkey, md FROM md")
+def html_table_to_markdown(spark, sf_dir):
+    return inputs.html_tables(spark, sf_dir).select("r_regionkey", L.html_table_to_markdown(F.col("html")).alias("md"))
+
+
+@query(f"WITH {MD_TABLE} SELECT r_regionkey, true AS updated, 'before ' || md || ' after' AS html FROM md")
+def convert_tables(spark, sf_dir):
+    return L.reprocess(inputs.html_tables(spark, sf_dir), "html").select("r_regionkey", "updated", "html")
+
+
+# Embedding and index state
+
+VECTORS = SQL["vectors"]
+CHUNKS = "SELECT CAST(doc_id AS VARCHAR) AS chunk_id, source AS energy_utility_name, strpos(coalesce(text, ''), '|') > 0 AS has_table, doc_id % 4 = 0 AS has_figure FROM documents"
+UPLOADS = "SELECT CAST(doc_id AS VARCHAR) AS chunk_id, quality = 1 AS uploaded FROM labels"
+
+
+def _chunks(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("energy_utility_name"), F.contains(F.coalesce("text", F.lit("")), F.lit("|")).alias("has_table"), (F.col("doc_id") % 4 == 0).alias("has_figure"))
+
+
+def _uploads(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("chunk_id"), (F.col("quality") == 1).alias("uploaded"))
+
+
+@query(f"SELECT chunk_id, round(CAST(list_extract(v, 1) AS DOUBLE), 6) AS first_value, CAST(len(v) AS INTEGER) AS dim FROM (SELECT chunk_id, arg_max(vector, seq) AS v FROM ({VECTORS}) GROUP BY chunk_id)")
+def latest_vector(spark, sf_dir):
+    v = I.latest_vectors(inputs.vectors(spark, sf_dir))
+    return v.select("chunk_id", F.round(F.get("vector", F.lit(0)).cast("double"), 6).alias("first_value"), F.size("vector").alias("dim"))
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS chunk_id, vec_id AS seq, 2 AS dim FROM embeddings WHERE vec_id < 200")
+def vector_lines(spark, sf_dir):
+    """Lines of a cache that has a broken line at 200: what follows is not read."""
+    v = table(spark, sf_dir, "embeddings")
+    good = F.concat(F.lit('{"chunk_id": "'), F.col("vec_id").cast("string"), F.lit('", "vector": [0.5, 1]}'))
+    lines = v.select(F.col("vec_id").alias("seq"), F.when(F.col("vec_id") == 200, '{"chunk_id": "x", "vec').otherwise(good).alias("line"))
+    return I.vector_lines(lines).select("chunk_id", "seq", F.size("vector").alias("dim"))
+
+
+@query(f"SELECT chunk_id FROM ({CHUNKS}) WHERE chunk_id NOT IN (SELECT chunk_id FROM ({VECTORS}))")
+def pending_embed(spark, sf_dir):
+    return I.pending_embed(_chunks(spark, sf_dir), inputs.vectors(spark, sf_dir)).select("chunk_id")
+
+
+@query(f"SELECT chunk_id FROM ({CHUNKS}) WHERE chunk_id NOT IN (SELECT chunk_id FROM ({UPLOADS}) WHERE uploaded)")
+def pending_upload(spark, sf_dir):
+    return I.pending_upload(_chunks(spark, sf_dir), _uploads(spark, sf_dir)).select("chunk_id")
+
+
+@query(
+    f"""SELECT (SELECT count(*) FROM ({CHUNKS})) AS chunks, (SELECT count(*) FROM ({CHUNKS}) WHERE has_table) AS with_tables, (SELECT count(*) FROM ({CHUNKS}) WHERE has_figure) AS with_figures,
+ (SELECT string_agg(DISTINCT energy_utility_name, ',' ORDER BY energy_utility_name) FROM ({CHUNKS})) AS utilities, (SELECT count(DISTINCT chunk_id) FROM ({VECTORS})) AS vectors_cached, (SELECT count(*) FROM ({UPLOADS}) WHERE uploaded) AS uploaded"""
+)
+def index_stats(spark, sf_dir):
+    return I.stats(_chunks(spark, sf_dir), inputs.vectors(spark, sf_dir), _uploads(spark, sf_dir))
+
+
+@query("SELECT CAST(item_id AS VARCHAR) AS chunk_id, CASE WHEN item_id % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM benchmark UNION ALL SELECT 'n' || item_id, 'new' FROM benchmark")
+def index_upsert(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("chunk_id"), "item_id")
+    new = b.where("item_id % 3 = 0").select("chunk_id").union(b.select(F.concat(F.lit("n"), "chunk_id"))).withColumn("state", F.lit("new"))
+    return I.upsert(b.select("chunk_id", F.lit("old").alias("state")), new)
+
+
+@query(
+    """WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS t FROM benchmark), p AS (SELECT item_id, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 64 AS place, sum(CASE WHEN CAST('0x' || substr(md5(t), 9, 1) AS BIGINT) < 8 THEN 1 ELSE -1 END) AS v FROM w GROUP BY 1, 2)
+ SELECT CAST(item_id AS VARCHAR) AS chunk_id, CAST(place AS INTEGER) AS place, round(v / sqrt(sum(v * v) OVER (PARTITION BY item_id)), 4) AS value FROM p WHERE v <> 0"""
+)
+def embed_chunks(spark, sf_dir):
+    chunks = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("chunk_id"), F.col("text").alias("content"))
+    v = I.embed(chunks).select("chunk_id", F.posexplode("vector").alias("place", "value"))
+    return v.where("value <> 0").withColumn("value", F.round(F.col("value").cast("double"), 4))
+
+
+def _embedded_chunks(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    chunks = C.chunk_documents(inputs.markdown(spark, sf_dir))
+    every = chunks.select("chunk_id", F.array(F.lit(0.5)).cast("array<float>").alias("vector"), F.col("chunk_index").alias("seq"))
+    return chunks, every.where("seq % 2 = 0")
+
+
+@query(f"WITH RECURSIVE {CHUNKS_SQL} SELECT {ID_SQL.format(stem="'conversation ' || conv_id", i="chunk_index", src="'conversation ' || conv_id || '.md'", c="content")} AS chunk_id, p AS page_start, q AS page_end, '{{\"char_count\": ' || length(content) || ', \"token_estimate\": ' || length(content) // 4 || '}}' AS metadata_json FROM chunks WHERE chunk_index % 2 = 0")
+def index_document(spark, sf_dir):
+    return I.index_documents(*_embedded_chunks(spark, sf_dir)).select("chunk_id", "page_start", "page_end", "metadata_json")
+
+
+@query(f"WITH RECURSIVE {CHUNKS_SQL}, ids AS (SELECT {ID_SQL.format(stem="'conversation ' || conv_id", i="chunk_index", src="'conversation ' || conv_id || '.md'", c="content")} AS chunk_id, chunk_index FROM chunks WHERE conv_id % 2 = 0) SELECT chunk_id, chunk_index % 2 = 0 AS found FROM ids UNION ALL SELECT 'x' || item_id, false FROM benchmark")
+def reindex_subset(spark, sf_dir):
+    chunks, vectors = _embedded_chunks(spark, sf_dir)
+    ids = chunks.where("cast(regexp_extract(source, '([0-9]+)', 1) as long) % 2 = 0").select("chunk_id").union(table(spark, sf_dir, "benchmark").select(F.concat(F.lit("x"), F.col("item_id").cast("string"))))
+    rows, missing = I.reindex(ids, chunks, vectors)
+    return rows.select("chunk_id", F.lit(True).alias("found")).union(missing.select("chunk_id", F.lit(False)))
+
+
+# Retrieval
+
+INDEX = SQL["index"]
+TERMS = "['applies', 'general', 'license', 'public', 'the', 'to', 'version', 'which', 'work']"
+
+
+def bm25_sql(source: str, key: str = "chunk_id") -> str:
+    """CTE bm25(key, score) over ``source`` (key, t)."""
+    return f"""tok AS MATERIALIZED (SELECT {key}, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]+') AS w FROM ({source})), len AS (SELECT {key}, len(w) AS dl FROM tok), av AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len),
+ tf AS (SELECT {key}, term, count(*) AS f FROM (SELECT {key}, unnest(w) AS term FROM tok) WHERE list_contains({TERMS}, term) GROUP BY ALL), df AS (SELECT term, count(*) AS d FROM tf GROUP BY term),
+ bm25 AS (SELECT {key}, round(sum(ln(1 + (n - d + 0.5) / (d + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN df USING (term) JOIN len USING ({key}) CROSS JOIN av GROUP BY {key})"""
+
+
+def cosine_sql(source: str) -> str:
+    q = "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)"
+    return f"near AS (SELECT chunk_id, round(list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))), 6) AS score FROM (SELECT chunk_id, CAST(content_vector AS DOUBLE[]) AS v, {q} AS q FROM ({source})))"
+
+
+def top(name: str, k: int) -> str:
+    return f"SELECT chunk_id, score, CAST(row_number() OVER (ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM {name} ORDER BY score DESC, chunk_id LIMIT {k}"
+
+
+def _question(spark, sf_dir) -> list[float]:
+    return list(table(spark, sf_dir, "embeddings").where("vec_id = 0").first().embedding)
+
+
+SEARCHED = "SELECT chunk_id, concat_ws(' ', section_title, topic, subtopic, content) AS t FROM ({})"
+RRF = """fused AS (SELECT chunk_id, round(coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 6) AS score FROM lex a FULL JOIN vec b USING (chunk_id))"""
+
+
+def hybrid_sql(source: str, k: int) -> str:
+    return f"{bm25_sql(SEARCHED.format(source))}, {cosine_sql(source)}, lex AS ({top('bm25', 2 * k)}), vec AS ({top('near', 2 * k)}), {RRF}, hits AS ({top('fused', k)})"
+
+
+@query(f"WITH {cosine_sql(INDEX)} {top('near', 30)}")
+def vector_topk(spark, sf_dir):
+    return R.vector_topk(inputs.index(spark, sf_dir), _question(spark, sf_dir), 30)
+
+
+@query(f"WITH {bm25_sql(SEARCHED.format(INDEX))} {top('bm25', 30)}")
+def bm25_topk(spark, sf_dir):
+    return R.bm25_topk(inputs.index(spark, sf_dir), QUESTION, 30, text=R.searchable())
+
+
+@query(f"WITH {hybrid_sql(INDEX, 15)} SELECT chunk_id, score AS _score, rank AS _rank FROM hits")
+def hybrid_rrf(spark, sf_dir):
+    return R.hybrid_search(inputs.index(spark, sf_dir), QUESTION, _question(spark, sf_dir)).select("chunk_id", "_score", "_rank")
+
+
+KEPT = f"SELECT * FROM ({INDEX}) WHERE content_type = 'text' AND source_pdf_name = (SELECT source || '.pdf' FROM documents WHERE doc_id = 1)"
+
+
+@query(f"WITH {hybrid_sql(KEPT, 10)} SELECT chunk_id, score AS _score, rank AS _rank FROM hits")
+def filtered_search(spark, sf_dir):
+    source = table(spark, sf_dir, "documents").where("doc_id = 1").first().source
+    hits = R.hybrid_search(inputs.index(spark, sf_dir), QUESTION, _question(spark, sf_dir), 10, " TEXT ", f"{source}.pdf")
+    return hits.select("chunk_id", "_score", "_rank")
+
+
+SCORED = f"scored AS (SELECT hits.*, i.*, len(list_intersect(regexp_extract_all(lower(substr(content, 1, 400)), '[\\p{{L}}\\p{{N}}]+'), {TERMS})) / 9.0 AS s FROM hits JOIN ({INDEX}) i USING (chunk_id))"
+
+
+@query(f"WITH {hybrid_sql(INDEX, 15)}, {SCORED} SELECT chunk_id, round(s, 6) AS _rerank_score, rank AS _rank FROM scored ORDER BY s DESC, rank LIMIT 8")
+def rerank_topn(spark, sf_dir):
+    hits = R.hybrid_search(inputs.index(spark, sf_dir), QUESTION, _question(spark, sf_dir))
+    return R.rerank(hits, R.coverage(QUESTION), 8).select("chunk_id", F.round("_rerank_score", 6).alias("_rerank_score"), "_rank")
+
+
+def context_sql(source: str, order: str) -> str:
+    """context of ``source``, a CTE of hits."""
+    return f"""SELECT string_agg('[SOURCE ' || n || '] [' || upper(content_type) || '] ' || section || CASE WHEN coalesce(page_start, 0) = 0 THEN '' WHEN page_start = page_end THEN '  (Page ' || page_start || ')' ELSE '  (Pages ' || page_start || '–' || page_end || ')' END || chr(10) || content || chr(10), chr(10) || '---' || chr(10) ORDER BY n) AS context
+ FROM (SELECT *, row_number() OVER (ORDER BY CASE WHEN strpos(lower(source_pdf_name), 'esco doc') > 0 THEN 0 ELSE 1 END, {order}) AS n FROM {source})"""
+
+
+@query(f"WITH {hybrid_sql(INDEX, 15)}, {SCORED}, best AS (SELECT * FROM scored ORDER BY s DESC, rank LIMIT 15) {context_sql('best', 's DESC, rank')}")
+def build_context(spark, sf_dir):
+    hits = R.hybrid_search(inputs.index(spark, sf_dir), QUESTION, _question(spark, sf_dir))
+    return R.build_context(R.rerank(hits, R.coverage(QUESTION)), [F.desc("_rerank_score"), "_rank"])
+
+
+@query(f"SELECT content_type AS value, count(*) AS n FROM ({INDEX}) GROUP BY content_type")
+def facet_counts(spark, sf_dir):
+    return I.facets(inputs.index(spark, sf_dir), "content_type")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 7 < 5 THEN NULL ELSE source END AS value FROM documents")
+def normalize_filter(spark, sf_dir):
+    said = F.array(*map(F.lit, (" NULL ", "string", "", "None", "\tunknown\n")))
+    raw = F.when(F.col("doc_id") % 7 < 5, F.get(said, (F.col("doc_id") % 7).cast("int"))).otherwise(F.concat(F.lit("  "), "source", F.lit("\t")))
+    return table(spark, sf_dir, "documents").select("doc_id", R.normalized(raw).alias("value"))
+
+
+HISTORY = "SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations"
+
+
+def _history(spark, sf_dir) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("history"))
+    return turns
+
+
+@query(f"SELECT conv_id, string_agg(upper(role) || ': ' || substr(text, 1, 200), chr(10) ORDER BY turn) AS recent, CASE conv_id % 3 WHEN 0 THEN 'from json' WHEN 1 THEN 'bare words' ELSE 'the question' END AS refined FROM ({HISTORY}) WHERE back <= 4 GROUP BY conv_id")
+def refine_query(spark, sf_dir):
+    reply = F.when(F.col("conv_id") % 3 == 0, '{"standalone_query": "from json"}').when(F.col("conv_id") % 3 == 1, ' "bare words" ').otherwise('""')
+    return _history(spark, sf_dir).select("conv_id", R.recent_conversation(F.col("history")).alias("recent"), R.refined(reply, F.lit("the question")).alias("refined"))
+
+
+@query(f"SELECT conv_id, CAST(count(*) + 2 AS INTEGER) AS n, 'system > ' || string_agg(role, ' > ' ORDER BY turn) || ' > user' AS roles FROM ({HISTORY}) WHERE back <= 6 GROUP BY conv_id")
+def answer_messages(spark, sf_dir):
+    m = _history(spark, sf_dir).select("conv_id", R.answer_messages("be exact", F.col("history"), F.lit("context"), F.lit("q")).alias("m"))
+    return m.select("conv_id", F.size("m").alias("n"), F.array_join(F.transform("m", lambda x: x["role"]), " > ").alias("roles"))
+
+
+PIECES_SQL = f"""{SPLIT_SQL}, numbered AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1 AS INTEGER) AS i, piece FROM pieces),
+ ix AS (SELECT {ID_SQL.format(stem="CAST(doc_id AS VARCHAR)", i="i", src="doc_id || '.md'", c="piece")} AS chunk_id, doc_id || '.md' AS source, '' AS source_pdf_name, source AS section, 0 AS page_start, 0 AS page_end, piece AS content FROM numbered JOIN (SELECT doc_id, source FROM documents) USING (doc_id)),
+ typed AS (SELECT *, {CONTENT_TYPE_SQL.replace("(c,", "(content,")} AS content_type FROM ix)"""
+
+
+@query(f"WITH RECURSIVE {PIECES_SQL}, {bm25_sql('SELECT chunk_id, content AS t FROM ix')}, lex AS ({top('bm25', 15)}), best AS (SELECT * FROM lex JOIN typed USING (chunk_id)) {context_sql('best', 'rank')}")
+def retrieval_context(spark, sf_dir):
+    """Documents cut to overlapping pieces, ranked for a question, the best as numbered sources."""
+    docs = table(spark, sf_dir, "documents")
+    pieces = C.split_documents(docs, ["doc_id", "source"])
+    name, content = F.concat(F.col("doc_id").cast("string"), F.lit(".md")), F.col("content")
+    rows = pieces.select(
+        T.chunk_id(name, F.col("piece_no"), content).alias("chunk_id"),
+        name.alias("source"),
+        F.lit("").alias("source_pdf_name"),
+        F.col("source").alias("section"),
+        F.lit(0).alias("page_start"),
+        F.lit(0).alias("page_end"),
+        "content",
+        T.content_type(content).alias("content_type"),
+    )
+    best = R.bm25_topk(rows, QUESTION, R.TOP_K).withColumnRenamed("rank", "_rank").drop("score")
+    return R.build_context(rows.join(F.broadcast(best), "chunk_id"))  # TOP_K rows
+
+
+@query(ORACLES["chunk_documents"])
+def ingest_stream(spark, sf_dir):
+    """The chunks of a stream of documents, the same as of the batch."""
+    folder = shared_folder(spark)
+    inputs.markdown(spark, sf_dir).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("source string, utility string, text string").option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
+    ingest.ingest(stream, f"{folder}/out", f"{folder}/checkpoint")
+    rows = ingest.latest_chunks(spark, f"{folder}/out")
+    kept = ("chunk_id", "source", "chunk_index", "page_start", "page_end", "heading_level", "topic", "subtopic", "section_title", "section", "region", "energy_utility_name", "content", "content_type")
+    return rows.select(*kept, F.col("metadata.token_estimate").alias("token_estimate"))
