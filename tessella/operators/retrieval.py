@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions.text import normalize_filter, strip
+from tessella.sources.scratch import written
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -59,9 +60,10 @@ def bm25_topk(docs: DataFrame, query: str, k: int, key: str = "chunk_id", text:
     if not terms:
         return docs.limit(0).select(key, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
     one = F.col(text) if isinstance(text, str) else text
-    # a list of the query's own terms per row is all that leaves the scan
+    # a list of the query's own terms per row is all that leaves the scan; it is read twice, the text once
     held = docs.select(key, tokens(F.coalesce(one, F.lit(""))).alias("t"))
     held = held.select(key, F.size("t").alias("dl"), F.filter("t", lambda x: x.isin(terms)).alias("m"))
+    held = written(held)
     count = lambda term: F.size(F.filter("m", lambda x: x == term))
     tf = [count(t) for t in terms]
     stats = held.agg(  # one row of a few numbers

@@ -7,7 +7,6 @@ strings; ``records`` are (session_id, messages array<MESSAGE>).
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MESSAGE = "struct<msgId:string,question:string,answer:string,feedback:string,created_at:string>"
@@ -128,7 +127,3 @@ def session(sessions: DataFrame, session_id: str) -> DataFrame:
     """The first session with the id; no row without one."""
     return sessions.where(F.col("id") == session_id).orderBy("position").limit(1)
 
-
-def first_match(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("_n", rank).where("_n = 1").drop("_n")

@@ -63,8 +63,8 @@ def session_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as session rows: the text's first word asks, source answers, so that questions repeat."""
     docs = table(spark, sf_dir, "documents")
     return docs.select(
-        F.concat(F.lit("s"), F.col("lang")).alias("session_id"),
-        F.concat(F.lit("m"), (F.col("doc_id") % 50).cast("string")).alias("msg_id"),
+        F.concat(F.lit("s"), F.expr("doc_id div 40").cast("string")).alias("session_id"),
+        F.concat(F.lit("m"), (F.col("doc_id") % 30).cast("string")).alias("msg_id"),
         F.coalesce(F.regexp_extract(F.coalesce("text", F.lit("")), "^([A-Za-z]+)", 1), F.lit("")).alias("question"),
         F.col("source").alias("answer"),
         F.lit(None).cast("string").alias("feedback"),
@@ -135,7 +135,7 @@ CONTENT_TYPE_SQL = f"""CASE WHEN strpos(c, '|') > 0 AND (strpos(c, '[Figure') >
 SQL = {
     "markdown": """SELECT 'conversation ' || conv_id || '.md' AS source, 'conversations' AS utility, '# Conversation ' || conv_id || chr(10) ||
  string_agg('<!-- PageNumber="' || (turn + 1) || '" -->' || chr(10) || '## ' || role || chr(10) || chr(10) || text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id""",
-    "session_rows": """SELECT 's' || lang AS session_id, 'm' || (doc_id % 50) AS msg_id, coalesce(regexp_extract(coalesce(text, ''), '^([A-Za-z]+)', 1), '') AS question, source AS answer,
+    "session_rows": """SELECT 's' || doc_id // 40 AS session_id, 'm' || (doc_id % 30) AS msg_id, coalesce(regexp_extract(coalesce(text, ''), '^([A-Za-z]+)', 1), '') AS question, source AS answer,
  CAST(NULL AS VARCHAR) AS feedback, strftime(make_timestamp((1700000000 + doc_id * 60) * 1000000), '%Y-%m-%d %H:%M:%S') AS created_at FROM documents""",
     "paths": """SELECT CASE WHEN doc_id % 3 = 0 THEN source || '/read-' || doc_id || '.pdf' WHEN doc_id % 17 = 0 THEN source || '/sub/' || doc_id || '.pdf' WHEN doc_id % 19 = 0 THEN doc_id || '.pdf'
  ELSE source || '/' || doc_id || '.pdf' END AS path, doc_id AS mtime, n_chars AS size FROM documents WHERE source IS NOT NULL

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +14,7 @@ from tessella.operators import sessions as S
 from tessella.plans import inputs
 from tessella.plans.inputs import CONTENT_TYPE_SQL, NOW, SQL, WS, sql_strip, table
 from tessella.sources import files
+from tessella.sources.scratch import shared_folder, spread, written
 from tessella.streaming import ingest
 
 QUERIES: dict = {}
@@ -36,11 +35,6 @@ def query(sql: str | None = None):
     return add
 
 
-def shared_folder(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-    return f"{base}/{uuid.uuid4().hex}"
-
-
 # Text and chunk columns
 
 
@@ -121,7 +115,7 @@ SPLIT_SQL = split_sql("SELECT doc_id, coalesce(text, '') AS t FROM documents", "
 
 @query(f"WITH RECURSIVE {SPLIT_SQL} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1 AS INTEGER) AS piece_no, piece AS content FROM pieces")
 def split_overlap(spark, sf_dir):
-    return C.split_documents(table(spark, sf_dir, "documents"), ["doc_id"])
+    return C.split_documents(spread(table(spark, sf_dir, "documents")), ["doc_id"])
 
 
 LINES_SQL = r"regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]')"
@@ -178,7 +172,7 @@ def process_table(spark, sf_dir):
 @query()
 def pack_sections(spark, sf_dir):
     """Windows over documents with tables between their lines; the tests hold packing against traced cases."""
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("source"), F.lit("u").alias("utility"), F.regexp_replace("text", r"\n", "\n| a | b |\n").alias("text"))
+    docs = spread(table(spark, sf_dir, "documents")).select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("source"), F.lit("u").alias("utility"), F.regexp_replace("text", r"\n", "\n| a | b |\n").alias("text"))
     return C.chunk_documents(docs).select("source", "chunk_index", "content", "content_type", "table_count")
 
 
@@ -202,7 +196,7 @@ def session_dedupe(spark, sf_dir):
     return S.latest_rows(inputs.session_rows(spark, sf_dir))
 
 
-UPDATES = "SELECT 's' || CASE WHEN doc_id % 2 = 0 THEN 'en' ELSE 'zz' END AS session_id, 'm' || (doc_id % 60) AS msg_id, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS feedback, doc_id AS seq FROM labels"
+UPDATES = "SELECT 's' || doc_id // 40 AS session_id, 'm' || (doc_id % 60) AS msg_id, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS feedback, doc_id AS seq FROM labels"
 
 
 @query(
@@ -213,7 +207,7 @@ UPDATES = "SELECT 's' || CASE WHEN doc_id % 2 = 0 THEN 'en' ELSE 'zz' END AS ses
 def feedback_upsert(spark, sf_dir):
     labels = table(spark, sf_dir, "labels")
     updates = labels.select(
-        F.when(F.col("doc_id") % 2 == 0, "sen").otherwise("szz").alias("session_id"),
+        F.concat(F.lit("s"), F.expr("doc_id div 40").cast("string")).alias("session_id"),
         F.concat(F.lit("m"), (F.col("doc_id") % 60).cast("string")).alias("msg_id"),
         F.when(F.col("quality") == 1, "good").otherwise("bad").alias("feedback"),
         F.col("doc_id").alias("seq"),
@@ -249,17 +243,16 @@ def session_repair(spark, sf_dir):
 
 
 @query(
-    f"""SELECT session_id, CAST(n + CASE WHEN session_id = 'sen' THEN 0 ELSE 1 END AS INTEGER) AS n_messages, CAST(CASE WHEN session_id = 'sen' THEN m3 ELSE 0 END AS INTEGER) AS n_rated
- FROM (SELECT session_id, count(*) AS n, least(count(*) FILTER (msg_id = 'm3'), 1) AS m3 FROM ({ROWS}) WHERE session_id IS NOT NULL GROUP BY session_id)"""
+    """SELECT conv_id, CAST(count(*) + CASE WHEN conv_id % 2 = 1 OR count(*) FILTER (turn = 2) = 0 THEN 1 ELSE 0 END AS INTEGER) AS n_messages, CAST(CASE WHEN conv_id % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS n_rated FROM conversations GROUP BY conv_id"""
 )
 def attach_feedback(spark, sf_dir):
-    """Feedback on message m3 of the session 'sen', and one message more in all others."""
-    rows = inputs.session_rows(spark, sf_dir).where("session_id is not null")
-    records = rows.groupBy("session_id").agg(F.array_sort(F.collect_list(S.message(F.col("msg_id"), F.col("question"), F.col("answer"), None, F.col("created_at")))).alias("messages"))
-    rated = S.attach_feedback(F.col("messages"), F.lit("m3"), F.lit("good"), NOW)
+    """Feedback on message m2 of every second conversation, one more message in all others."""
+    turn = S.message(F.concat(F.lit("m"), F.col("turn").cast("string")), F.col("text"), F.lit(""), None, F.lit(NOW))
+    records = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("messages"))
+    rated = S.attach_feedback(F.col("messages"), F.lit("m2"), F.lit("good"), NOW)
     more = S.append_message(F.col("messages"), "new", "q", "a", NOW)
-    out = records.select("session_id", F.when(F.col("session_id") == "sen", rated).otherwise(more).alias("m"))
-    return out.select("session_id", F.size("m").alias("n_messages"), F.size(F.filter("m", lambda x: x["feedback"] == "good")).alias("n_rated"))
+    out = records.select("conv_id", F.when(F.col("conv_id") % 2 == 0, rated).otherwise(more).alias("m"))
+    return out.select("conv_id", F.size("m").alias("n_messages"), F.size(F.filter("m", lambda x: x["feedback"] == "good")).alias("n_rated"))
 
 
 @query("SELECT CAST(conv_id AS VARCHAR) AS id, conv_id AS position, CASE WHEN conv_id % 2 = 0 THEN 'new' ELSE 'old' END AS payload FROM conversations GROUP BY conv_id UNION ALL SELECT 'x' || conv_id, (SELECT max(conv_id) FROM conversations) + 1 + conv_id, 'new' FROM conversations GROUP BY conv_id")
@@ -587,21 +580,14 @@ PIECES_SQL = f"""{SPLIT_SQL}, numbered AS (SELECT doc_id, CAST(row_number() OVER
 @query(f"WITH RECURSIVE {PIECES_SQL}, {bm25_sql('SELECT chunk_id, content AS t FROM ix')}, lex AS ({top('bm25', 15)}), best AS (SELECT * FROM lex JOIN typed USING (chunk_id)) {context_sql('best', 'rank')}")
 def retrieval_context(spark, sf_dir):
     """Documents cut to overlapping pieces, ranked for a question, the best as numbered sources."""
-    docs = table(spark, sf_dir, "documents")
-    pieces = C.split_documents(docs, ["doc_id", "source"])
+    docs = spread(table(spark, sf_dir, "documents"))
+    # an index is a table: it is cut once and then read by column
+    pieces = written(C.split_documents(docs, ["doc_id", "source"]))
     name, content = F.concat(F.col("doc_id").cast("string"), F.lit(".md")), F.col("content")
-    rows = pieces.select(
-        T.chunk_id(name, F.col("piece_no"), content).alias("chunk_id"),
-        name.alias("source"),
-        F.lit("").alias("source_pdf_name"),
-        F.col("source").alias("section"),
-        F.lit(0).alias("page_start"),
-        F.lit(0).alias("page_end"),
-        "content",
-        T.content_type(content).alias("content_type"),
-    )
+    rows = pieces.select(T.chunk_id(name, F.col("piece_no"), content).alias("chunk_id"), name.alias("source"), F.lit("").alias("source_pdf_name"), F.col("source").alias("section"), F.lit(0).alias("page_start"), F.lit(0).alias("page_end"), "content")
     best = R.bm25_topk(rows, QUESTION, R.TOP_K).withColumnRenamed("rank", "_rank").drop("score")
-    return R.build_context(rows.join(F.broadcast(best), "chunk_id"))  # TOP_K rows
+    hits = rows.join(F.broadcast(best), "chunk_id")  # TOP_K rows
+    return R.build_context(hits.withColumn("content_type", T.content_type(content)))
 
 
 @query(ORACLES["chunk_documents"])
