@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.sources.scratch import spread
+
 NOW = "2026-01-01T00:00:00+00:00"
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -40,7 +42,7 @@ def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as layout results: a page for every 1000 characters, a paragraph for every 700, a table on every third page and the next."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("content"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.coalesce("text", F.lit("")).alias("content"))
     n = F.greatest(F.ceil(F.length("content") / 1000), F.lit(1)).cast("int")
     span = lambda at, size: F.struct(at.cast("int").alias("offset"), size.cast("int").alias("length"))
     left = lambda at, size: F.greatest(F.least(F.lit(size), F.length("content") - at), F.lit(0))
