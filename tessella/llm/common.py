@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from tessella.sources.scratch import spread
 
+#: rows that a Python worker turns into objects at once
+ROWS = 2000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,17 +36,6 @@ def held_out(buckets: int, value: int, column: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % buckets == value
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Applies ``fn`` batch by batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
-
-    return df.mapInArrow(run, schema)
-
-
 def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The same rows, ``rows`` at a time: bounds the Python objects that are alive at once."""
     for batch in batches:
@@ -51,6 +43,15 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(k, rows)
 
 
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """Applies ``fn`` to ``ROWS`` rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from map(fn, sliced(batches, ROWS))
+
+    return df.mapInArrow(run, schema)
+
+
 def merged_batches(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[pa.Table]:
     """Joins consecutive batches into tables of about ``max_bytes``."""
     held, size = [], 0

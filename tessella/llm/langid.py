@@ -34,6 +34,7 @@ DIM = 16
 ORDERS = (2, 3, 4)
 PER_LANG = 600
 MAX_LANGS = 200
+STEP_CHARS = 250_000
 PAD = b" " * max(ORDERS)
 _LETTER = re.compile(r"[^\W\d_]").search
 _TABLE = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -76,7 +77,7 @@ class LangModel:
         at, size = 0, 0
         for stop, k in enumerate(known, 1):
             size += len(texts[k])
-            if size > 1_000_000 or stop == len(known):
+            if size > STEP_CHARS or stop == len(known):
                 some = known[at:stop]
                 p = self.scores([texts[j] for j in some])
                 for j, best, q in zip(some, p.argmax(1), p.max(1)):

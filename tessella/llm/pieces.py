@@ -29,6 +29,7 @@ from tessella.llm.common import doc_text, sliced
 MARK = "▁"
 NONE = np.int64(1 << 40)
 STEP = 500
+LEARN = 8_000  # words that are merged in one set of flat arrays
 CACHE_WORDS = 200_000  # words a worker remembers; beyond, only those of its last batch stay
 
 
@@ -203,8 +204,8 @@ class Codec:
         got = {w: known[w] for w in wanted if w in known}
         new = [w for w in wanted if w not in got]
         fresh = {}
-        for k in range(0, len(new), 50_000):
-            fresh.update(self._learn(new[k : k + 50_000]))
+        for k in range(0, len(new), LEARN):
+            fresh.update(self._learn(new[k : k + LEARN]))
         got.update(fresh)
         if len(known) + len(fresh) > CACHE_WORDS:
             self.words = got if len(got) <= CACHE_WORDS else {}
