@@ -30,7 +30,7 @@ MARK = "▁"
 NONE = np.int64(1 << 40)
 STEP = 500
 LEARN = 8_000  # words that are merged in one set of flat arrays
-CACHE_WORDS = 200_000  # words a worker remembers; beyond, only those of its last batch stay
+CACHE_WORDS = 300_000  # words a worker remembers; beyond, only those of its last batch stay
 
 
 class PieceModel:
