@@ -1,14 +1,16 @@
 """Language-model scores: add-one unigrams and a gated recurrent network.
 
 Token counts come from all training documents. The network reads words of a
-vocabulary of ``VOCAB`` (the commonest, one end and one mark for all others);
-its output is factored: a softmax over ``CLASSES`` classes, then one over the
-words of the class. A word outside the vocabulary costs the mark's probability
-times its add-one share of the words outside, so that scores are probabilities
-of whole texts. It is trained by truncated backpropagation in numpy on at most
-``SAMPLE`` training documents (those least by a hash of doc_id), and documents
-are scored complete: sorted by length, window by window, with the state carried
-from one window to the next.
+vocabulary (the commonest, one end and one mark for all others) that grows with
+the root of the number of distinct words, from ``VOCAB`` on; its output is
+factored: a softmax over classes, then one over the words of the class. A word
+outside the vocabulary costs the mark's probability times its add-one share of
+the words outside, so that scores are probabilities of whole texts. It is
+trained by truncated backpropagation in numpy: it starts from at most ``SAMPLE``
+documents (those least by a hash of doc_id), then every partition goes on from
+there over all its training documents, and the weights of the partitions are
+averaged by tokens. Documents are scored complete: sorted by length, window by
+window, with the state carried from one window to the next.
 
 Counts of the ``HEAD`` commonest words, at most, are broadcast; tokens of other
 words are joined with the table of counts, so every count is exact at any size.
@@ -20,31 +22,40 @@ table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import checkpointed, doc_text, merged_batches
+from tessella.llm.common import ROWS, checkpointed, doc_text, merged_batches, sliced
 
 END = b"\n"
 HEAD = 300_000
 VOCAB = 1024
-CLASSES = 32
 HIDDEN = 16
 WINDOW = 32
 SAMPLE = 600
 BUFFER = 12 << 20
+PASS = 1 << 18
+BLOCK = 4096
+NAMES = ("embed", "recur", "out_class", "out_word")
 
 
 def tokens_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split() + [END]
 
 
+def vocabulary(types: int) -> int:
+    """Vocabulary size for so many distinct words: a square, so that there are as many classes as words of a class."""
+    return (math.isqrt(max(VOCAB, 2 * math.isqrt(types)) - 1) + 1) ** 2
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -53,16 +64,25 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Gru:
     """Parameters; ``embed`` already holds the input's share of the three gates."""
 
-    embed: np.ndarray  # VOCAB x 3H: update, reset, candidate
+    embed: np.ndarray  # vocabulary x 3H: update, reset, candidate
     recur: np.ndarray  # H x 3H
-    out_class: np.ndarray  # (H + 1) x CLASSES, the last row a bias
-    out_word: np.ndarray  # CLASSES x (H + 1) x per class
+    out_class: np.ndarray  # (H + 1) x classes, the last row a bias
+    out_word: np.ndarray  # classes x (H + 1) x per class
 
     @classmethod
-    def new(cls, seed: int = 5) -> Gru:
+    def new(cls, seed: int = 5, vocab: int = VOCAB) -> Gru:
         rng = np.random.default_rng(seed)
+        classes = math.isqrt(vocab)
         f = lambda *s: rng.standard_normal(s).astype(np.float32)
-        return cls(0.3 * f(VOCAB, 3 * HIDDEN), f(HIDDEN, 3 * HIDDEN) / 4, 0.1 * f(HIDDEN + 1, CLASSES), 0.1 * f(CLASSES, HIDDEN + 1, VOCAB // CLASSES))
+        return cls(0.3 * f(vocab, 3 * HIDDEN), f(HIDDEN, 3 * HIDDEN) / 4, 0.1 * f(HIDDEN + 1, classes), 0.1 * f(classes, HIDDEN + 1, vocab // classes))
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([getattr(self, k).ravel() for k in NAMES])
+
+    def filled(self, flat: np.ndarray) -> Gru:
+        """A network of this shape with the weights of ``flat``."""
+        parts = np.split(flat.astype(np.float32), np.cumsum([getattr(self, k).size for k in NAMES])[:-1])
+        return Gru(*(p.reshape(getattr(self, k).shape).copy() for p, k in zip(parts, NAMES)))
 
     def step(self, prev: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         x, g = self.embed[prev], h @ self.recur
@@ -74,7 +94,7 @@ class Gru:
 
     def log_probs(self, h: np.ndarray, target: np.ndarray, grad: Gru | None = None) -> np.ndarray:
         """Natural log-probability of each target after its state; with ``grad``, returns the states' gradient of the summed loss and adds the parameters'."""
-        per = VOCAB // CLASSES
+        classes, per = self.out_word.shape[0], self.out_word.shape[2]
         h1 = np.concatenate([h, np.ones((len(h), 1), np.float32)], 1)
         kind, word = target // per, target % per
         at = np.arange(len(h))
@@ -90,8 +110,8 @@ class Gru:
             grad.out_class += h1.T @ a
             dh = a @ self.out_class.T
         order = np.argsort(kind, kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
+        edges = np.searchsorted(kind[order], np.arange(classes + 1))
+        for c in range(classes):
             rows = order[edges[c] : edges[c + 1]]
             if not len(rows):
                 continue
@@ -143,49 +163,75 @@ class Gru:
         return out
 
     def fit(self, docs: list[np.ndarray], first: int, epochs: int = 3, streams: int = 32, steps: int = 16, rate: float = 0.01) -> None:
-        """Truncated backpropagation over parallel streams of the texts, Adam steps."""
-        if not docs:
-            return
+        """Truncated backpropagation over parallel streams of the texts, Adam steps that grow smaller."""
+        if docs:
+            adam = Adam(self)
+            for epoch in range(epochs):
+                adam.read(docs, first, streams, steps, lambda done: rate * (1 - 0.9 * (epoch + done) / epochs))  # noqa: B023
+
+
+class Adam:
+    """Trains a network in place and keeps the moments from one set of texts to the next."""
+
+    def __init__(self, gru: Gru) -> None:
+        self.gru, self.count = gru, 0
+        self.m, self.v = ({k: np.zeros_like(getattr(gru, k)) for k in NAMES} for _ in range(2))
+
+    def read(self, docs: list[np.ndarray], first: int, streams: int, steps: int, rate: Callable[[float], float]) -> None:
+        """Once over all words of the texts; ``rate`` of the share that is done."""
+        gru = self.gru
         flat = np.concatenate([np.array([first]), *docs]).astype(np.int64)
-        streams = max(1, min(streams, len(flat) // (steps + 1)))
-        length = (len(flat) - 1) // streams
-        prev, goal = flat[: streams * length].reshape(streams, length), flat[1 : streams * length + 1].reshape(streams, length)
-        names = ("embed", "recur", "out_class", "out_word")
-        m, v = ({k: np.zeros_like(getattr(self, k)) for k in names} for _ in range(2))
-        count, updates = 0, epochs * max(1, length // steps)
-        for _ in range(epochs):
-            h = np.zeros((streams, HIDDEN), np.float32)
-            for t0 in range(0, length - steps + 1 or 1, steps):
-                span = range(t0, min(length, t0 + steps))
-                trace, start = [], h
-                for t in span:
-                    new = self.step(prev[:, t], h)
-                    trace.append((h, *new))
-                    h = new[0]
-                grad = Gru(*(np.zeros_like(getattr(self, k)) for k in names))
-                states = np.concatenate([x[1] for x in trace])
-                dh_out = self.log_probs(states, goal[:, span.start : span.stop].T.reshape(-1), grad).reshape(len(trace), streams, HIDDEN)
-                back = np.zeros_like(start)
-                for k in range(len(trace) - 1, -1, -1):
-                    h0, _, z, r, n, gn = trace[k]
-                    back = back + dh_out[k]
-                    dn = back * (1 - z) * (1 - n * n)
-                    dz = back * (h0 - n) * z * (1 - z)
-                    dr = dn * gn * r * (1 - r)
-                    dx = np.concatenate([dz, dr, dn], 1)
-                    dg = np.concatenate([dz, dr, dn * r], 1)
-                    np.add.at(grad.embed, prev[:, span.start + k], dx)
-                    grad.recur += h0.T @ dg
-                    back = back * z + dg @ self.recur.T
-                count += 1
-                scale = 1 / (streams * len(trace))
-                for k in names:
-                    g = getattr(grad, k) * scale
-                    np.clip(g, -1, 1, out=g)
-                    m[k] += 0.1 * (g - m[k])
-                    v[k] += 0.001 * (g * g - v[k])
-                    size = rate * (1 - 0.9 * count / updates)
-                    getattr(self, k)[...] -= size * (m[k] / (1 - 0.9**count)) / (np.sqrt(v[k] / (1 - 0.999**count)) + 1e-8)
+        n = len(flat) - 1
+        streams = max(1, min(streams, n // steps))
+        length = -(-n // streams)
+        # the last stream is filled from the beginning, so that no word is left out
+        wrap = np.arange(streams * length) % n
+        prev, goal = flat[:-1][wrap].reshape(streams, length), flat[1:][wrap].reshape(streams, length)
+        h = np.zeros((streams, HIDDEN), np.float32)
+        for t0 in range(0, length, steps):
+            t1 = min(length, t0 + steps)
+            trace, start = [], h
+            for t in range(t0, t1):
+                new = gru.step(prev[:, t], h)
+                trace.append((h, *new))
+                h = new[0]
+            grad = _zeros(gru)
+            states = np.concatenate([x[1] for x in trace])
+            dh_out = gru.log_probs(states, goal[:, t0:t1].T.reshape(-1), grad).reshape(len(trace), streams, HIDDEN)
+            back, inputs = np.zeros_like(start), []
+            for k in range(len(trace) - 1, -1, -1):
+                h0, _, z, r, c, gn = trace[k]
+                back = back + dh_out[k]
+                dn = back * (1 - z) * (1 - c * c)
+                dz = back * (h0 - c) * z * (1 - z)
+                dr = dn * gn * r * (1 - r)
+                inputs.append(np.concatenate([dz, dr, dn], 1))
+                dg = np.concatenate([dz, dr, dn * r], 1)
+                grad.recur += h0.T @ dg
+                back = back * z + dg @ gru.recur.T
+            words = prev[:, t0:t1][:, ::-1].T.reshape(-1)
+            order = np.argsort(words, kind="stable")
+            met, at = np.unique(words[order], return_index=True)
+            grad.embed = np.add.reduceat(np.concatenate(inputs)[order], at, axis=0)
+            self._step(grad, met, 1 / (streams * len(trace)), rate(t0 / length))
+
+    def _step(self, grad: Gru, met: np.ndarray, scale: float, rate: float) -> None:
+        """``grad.embed`` has only the rows of the words ``met``; the others stay."""
+        self.count += 1
+        for k in NAMES:
+            at = met if k == "embed" else slice(None)
+            g = getattr(grad, k) * np.float32(scale)
+            np.clip(g, -1, 1, out=g)
+            m, v = self.m[k][at], self.v[k][at]
+            m = m + np.float32(0.1) * (g - m)
+            v = v + np.float32(0.001) * (g * g - v)
+            self.m[k][at], self.v[k][at] = m, v
+            size = np.float32(rate / (1 - 0.9**self.count))
+            getattr(self.gru, k)[at] -= size * m / (np.sqrt(v * np.float32(1 / (1 - 0.999**self.count))) + np.float32(1e-8))
+
+
+def _zeros(gru: Gru) -> Gru:
+    return Gru(np.zeros((0, 3 * HIDDEN), np.float32), *(np.zeros_like(getattr(gru, k)) for k in NAMES[1:]))
 
 
 @dataclass
@@ -236,20 +282,59 @@ def train(docs: DataFrame, use: Column, head: int = HEAD, sample: int = SAMPLE)
         held, least = held + r["count"], r["level"]
     common = counts.where(level >= least).toArrow().to_pylist() if least is not None else []
     top = {r["word"]: r["n"] for r in common}
-    words = [w for w in sorted(top, key=lambda w: (-top[w], w)) if w != END][: VOCAB - 2]
+    size = vocabulary(total[1])
+    words = [w for w in sorted(top, key=lambda w: (-top[w], w)) if w != END][: size - 2]
     ids = {END: 0} | {w: k + 2 for k, w in enumerate(words)}
     n_docs = counts.where(F.col("word") == F.lit(END)).first()
     inside = sum(top[w] + 1 for w in words) + (n_docs["n"] + 1 if n_docs else 0)
-    model = LmModel(Gru.new(), ids, top, total[0], total[1], total[0] + total[1] - inside + 1)
+    model = LmModel(Gru.new(vocab=size), ids, top, total[0], total[1], total[0] + total[1] - inside + 1)
     hashed = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 32))
     below = int(4 * sample / max(1, n_docs["n"] if n_docs else 1) * (1 << 32)) + 1
     picked = rows.where(hashed < below).select("text", hashed.alias("h")).orderBy("h", "text").limit(sample).collect()
-    model.gru.fit([coded(model, tokens_of(r.text)) for r in picked], 0)
+    model.gru.fit([coded(ids, tokens_of(r.text)) for r in picked], 0)
+    model.gru = averaged(rows, model.gru, ids)
     return model, counts
 
 
-def coded(model: LmModel, words: list[bytes]) -> np.ndarray:
-    get, other = model.ids.get, LmModel.OTHER
+def averaged(rows: DataFrame, gru: Gru, ids: dict[bytes, int], rate: float = 0.01) -> Gru:
+    """``gru`` trained on by every partition over all its texts, then the mean of the partitions' weights by tokens."""
+    shared = rows.sparkSession.sparkContext.broadcast((gru, ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, words = shared.value
+        adam, held, size, n = Adam(start.filled(start.flat())), [], 0, 0
+
+        def learn() -> None:
+            adam.read(held, 0, max(1, min(256, size // 512)), 16, lambda done: rate)
+
+        for batch in sliced(batches, ROWS):
+            for text in batch.column("text").to_pylist():
+                held.append(coded(words, tokens_of(text)))
+                size += len(held[-1])
+                if size >= PASS:
+                    learn()
+                    held, size, n = [], 0, n + size
+        if held:
+            learn()
+            n += size
+        if n:
+            flat = adam.gru.flat()
+            blocks = [flat[k : k + BLOCK].tobytes() for k in range(0, len(flat), BLOCK)]
+            part = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_pydict({"block": pa.array(range(len(blocks)), pa.int32()), "part": pa.array([part] * len(blocks), pa.int32()), "n": pa.array([n] * len(blocks), pa.int64()), "w": pa.array(blocks, pa.binary())})
+
+    def mean(t: pa.Table) -> pa.Table:
+        t = t.sort_by("part")  # else sums would depend on the order of arrival
+        n = t.column("n").to_numpy().astype(np.float64)
+        w = sum(np.frombuffer(b.as_py(), np.float32) * k for b, k in zip(t.column("w"), n)) / n.sum()
+        return pa.table({"block": t.column("block").combine_chunks()[:1], "w": pa.array([w.astype(np.float32).tobytes()], pa.binary())})
+
+    got = doc_text(rows).select("text").mapInArrow(run, "block int, part int, n long, w binary").groupBy("block").applyInArrow(mean, "block int, w binary").collect()
+    return gru.filled(np.frombuffer(b"".join(r.w for r in sorted(got, key=lambda r: r.block)), np.float32)) if got else gru
+
+
+def coded(ids: dict[bytes, int], words: list[bytes]) -> np.ndarray:
+    get, other = ids.get, LmModel.OTHER
     return np.array([get(w, other) for w in words], np.int32)
 
 
@@ -260,13 +345,13 @@ def score(docs: DataFrame, model: LmModel, counts: DataFrame, extra: list[str] |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        head, vocabulary = m.head, m.ids
+        head, vocabulary_ids = m.head, m.ids
         for t in merged_batches(batches, BUFFER):
             seqs, n_tokens, n_known, logs, other_logs, n_other = [], [], [], [], [], []
             rest_words, rest_counts, rest_at = [], [], [0]
             for text in t.column("text").to_pylist():
                 words = tokens_of(text)
-                ids = coded(m, words)
+                ids = coded(vocabulary_ids, words)
                 found = np.array([head.get(w, -1) for w in words], np.int64)
                 known = found > 0
                 lg = np.log10(found[known] + 1.0)

@@ -81,3 +81,26 @@ def test_odd_rows(odd, nothing):
     model, counts = lm.train(odd, F.lit(False))
     assert {(r.train_tokens, r.n_known) for r in lm.score(odd, model, counts).collect()} == {(0, 0)}
     assert lm.score(nothing, *lm.train(nothing, F.lit(True))).count() == 0
+
+
+def test_network_learns_from_every_document(spark):
+    text = "one two three four five six seven eight nine ten " * 40
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit(text).alias("text")).repartition(4)
+    model, _ = lm.train(docs, F.lit(True), sample=0)  # nothing but the pass over all documents
+    ids = [lm.coded(model.ids, lm.tokens_of(text))]
+    assert model.gru.score(ids, 0)[0] > 0.8 * lm.Gru.new().score(ids, 0)[0]
+
+
+def test_vocabulary_grows_with_distinct_words():
+    assert lm.vocabulary(0) == lm.VOCAB < lm.vocabulary(1_000_000) < lm.vocabulary(100_000_000)
+    gru = lm.Gru.new(vocab=lm.vocabulary(4_000_000))
+    n = len(gru.embed)
+    h = np.random.default_rng(1).standard_normal((1, lm.HIDDEN)).astype(np.float32)
+    assert np.exp(gru.log_probs(np.repeat(h, n, 0), np.arange(n))).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_no_word_is_left_out_of_a_pass():
+    gru = lm.Gru.new()
+    lm.Adam(gru).read([np.array([5, 6, 7])], 0, 4, 16, lambda done: 0.01)
+    changed = (gru.embed != lm.Gru.new().embed).any(1)
+    assert set(np.nonzero(changed)[0]) == {0, 5, 6}
