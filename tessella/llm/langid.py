@@ -4,15 +4,15 @@ Subwords are runs of 2 to 4 UTF-8 bytes of the lower-cased text, in which all
 ASCII but letters is blank. Each is hashed to a row of an embedding table; a
 text is the average of its rows, and a softmax over it gives the language. Both
 are trained by stochastic gradient descent in numpy, on a sample of at most
-``PER_LANG`` labelled rows for each of at most ``MAX_LANGS`` languages (those
-with most rows). A fifth of the sample calibrates: a temperature, and the
+``PER_LANG`` distinct labelled texts for each of at most ``MAX_LANGS`` languages
+(those with most rows). A fifth of the sample calibrates: a temperature, and the
 confidence under which a text is rejected, so that at most ``reject_share`` of
 known texts are.
 
 Defined cases: a text that is null or has no letter is ``und``, score 0, and
 rejected; with no labelled rows every text is ``und``; rows with a null lang are
-predicted but not learned from; repeated rows count; an empty table gives no
-rows.
+predicted but not learned from; repeated rows are learned from once and each
+predicted; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -138,13 +138,15 @@ def fit(samples: list[tuple[str, str]], epochs: int = 4, rate: float = 1.0, reje
 
 
 def sample(docs: DataFrame, use: Column, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> list[tuple[str, str]]:
-    """(text, lang) of the rows that ``use`` marks: for each language those least by a hash of text."""
+    """Distinct (text, lang) of the rows that ``use`` marks: for each language those least by a hash of text."""
     rows = docs.where(use & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    top = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
-    top = top.select(F.col("lang").alias("l"), (8 * per_lang / F.col("n") * (1 << 32)).alias("below"))
+    # copies have one hash, so the share to go on is of distinct hashes; the texts themselves are not dealt out for that
+    once = rows.groupBy("lang", F.xxhash64("text").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    top = once.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    top = top.select(F.col("lang").alias("l"), (8 * per_lang / F.col("texts") * (1 << 32)).alias("below"))
     rows = rows.withColumn("hash", F.pmod(F.xxhash64("text"), F.lit(1 << 32))).join(F.broadcast(top), F.col("lang") == F.col("l"))  # max_langs rows
     # eight times the share that is wanted goes on, so that a frequent language is no large group
-    rows = rows.where("hash < below").select("text", "lang", "hash")
+    rows = rows.where("hash < below").select("text", "lang", "hash").distinct()
     rank = F.row_number().over(W.partitionBy("lang").orderBy("hash", "text"))
     return [(r.text, r.lang) for r in rows.withColumn("k", rank).where(F.col("k") <= per_lang).collect()]
 

@@ -47,3 +47,13 @@ def test_odd_rows(odd, nothing):
     assert langid.recognised(nothing, model).count() == 0
     assert langid.sample(nothing, F.lit(True)) == []
     assert langid.identify(odd.select("doc_id", "text"), model).count() == odd.count()
+
+
+def test_copies_leave_a_language_its_sample(spark):
+    copies = spark.range(20_000).select(F.lit("the same words again").alias("text"), F.lit("en").alias("lang"))
+    few = spark.range(30).select(F.concat(F.lit("other words "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    many = spark.range(5000).select(F.concat(F.lit("viele Worte "), F.col("id").cast("string")).alias("text"), F.lit("de").alias("lang"))
+    got = langid.sample(copies.union(few).union(many), F.lit(True), per_lang=50)
+    assert len(got) == len(set(got))
+    assert sorted(t for t, y in got if y == "en") == sorted({"the same words again", *(f"other words {k}" for k in range(30))})
+    assert sum(y == "de" for _, y in got) == 50
