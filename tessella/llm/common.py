@@ -31,6 +31,13 @@ def shielded(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, Callabl
     return docs.toDF(*hidden), lambda df: df.select([F.col(h).alias(c) for h, c in zip(hidden, names)])
 
 
+def without(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """``docs`` without columns that have one of ``names``, in any case: an operator's own results take their place."""
+    taken = {n.lower() for n in names}
+    inner = [f"_x{k}" for k in range(len(docs.columns))]
+    return docs.toDF(*inner).select([F.col(i).alias(c) for i, c in zip(inner, docs.columns) if c.lower() not in taken])
+
+
 def held_out(buckets: int, value: int, column: str = "doc_id"):
     """crc32 of the id as text, modulo ``buckets``, equals ``value``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % buckets == value

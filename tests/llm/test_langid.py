@@ -25,13 +25,63 @@ def test_predictions_do_not_read_labels(spark, docs):
     assert [(r.lang_pred, r.score) for r in a] == [(r.lang_pred, r.score) for r in b]
 
 
-def test_foreign_scripts_are_rejected(docs):
-    model = langid.fit(langid.sample(docs, F.lit(True)))
-    _, _, rejected = model.predict(["zzzz qqqq xxxx", "", None, "12 !!"])
-    assert rejected[1:].all()
+def test_foreign_scripts_are_rejected(spark):
+    model = langid.fit(langid.sample(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), F.lit(True)))
+    _, _, rejected = model.predict(["zzzz qqqq xxxx", "абв гдеж зик лмно", "漢字 仮名", "", None, "12 !!"])
+    assert rejected.all()
     assert model.predict(["", None, "12 !!"])[0] == ["und"] * 3
 
 
+def test_number_signs_are_no_letters(docs):
+    model = langid.fit(langid.sample(docs, F.lit(True)))
+    assert model.predict(["½ ² ①", "Ⅷ", "_", "٣"])[0] == ["und"] * 4
+    assert langid.UND not in model.predict(["ª", "ʰ", "漢", "é"])[0]
+
+
+def test_every_language_is_learned(spark):
+    # one text repeated in each of many languages, and one language of distinct texts
+    one = spark.range(40_000).select(F.concat(F.lit("text number "), (F.col("id") % 40).cast("string")).alias("text"), F.concat(F.lit("l"), (F.col("id") % 40).cast("string")).alias("lang"))
+    many = spark.range(9000).select(F.concat(F.lit("viele Worte "), F.col("id").cast("string")).alias("text"), F.lit("de").alias("lang"))
+    got = langid.sample(one.union(many), F.lit(True), per_lang=20, most=410)
+    assert {y for _, y in got} == {f"l{k}" for k in range(40)} | {"de"}
+    assert sum(y == "de" for _, y in got) == 10
+
+
+def test_scores_equal_the_formula():
+    for n in (3, 30):  # the table holds the weights, or does not
+        rng = np.random.default_rng(n)
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzäöñ"), 6)) for _ in range(n)]
+        samples = [(f"{w} {w} {a}", f"l{k:02}") for k, w in enumerate(words) for a in words[:6]]
+        model = langid.fit(samples)
+        assert (model.weight is None) == (n == 3)
+        texts = ["abc déf", words[0], "x" * 30_000, "ñ 1 ñ"]
+        _, score, _ = model.predict(texts)
+        for t, s in zip(texts, score):
+            data = "".join(c if c.isalpha() and (ord(c) > 127 or c.islower()) else " " for c in t.lower()).encode()
+            total, m = np.zeros(model.table.shape[1]), 0
+            for order in langid.ORDERS:
+                for at in range(len(data) + 1):  # a text's words end in blanks
+                    gram = (data + langid.PAD)[at : at + order]
+                    code = (int.from_bytes(gram, "big") + order * 0x51ED27) % 2**32 * 2654435761 % 2**32
+                    total, m = total + model.table[(code ^ code >> 15) >> 17], m + 1
+            z = (total / m if model.weight is None else total / m @ model.weight) + model.bias
+            e = np.exp((z - z.max()) / model.temperature)
+            assert abs((e / e.sum()).max() - s) < 1e-5, t[:20]
+
+
+def test_long_texts_are_excerpts_in_the_sample(spark):
+    rows = spark.createDataFrame([("a" * 100_000 + " end", "x"), ("short", "y")], "text string, lang string")
+    got = dict((y, t) for t, y in langid.sample(rows, F.lit(True)))
+    assert got["y"] == "short" and len(got["x"]) == langid.EXCERPT
+
+
+def test_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "abc def", "old", 7.0)], "doc_id long, text string, Lang_Pred string, score double")
+    got = langid.identify(rows, langid.fit([("abc def ghi", "en"), ("uvw xyz rst", "de")] * 10))
+    assert got.columns == ["doc_id", "text", "lang_pred", "score", "rejected"]
+    assert got.first().lang_pred == "en"
+
+
 def test_gradient_lowers_loss():
     samples = [("aaa bbb aab", "x"), ("ccc ddd ccd", "y")] * 20
     model = langid.fit(samples, epochs=8)
