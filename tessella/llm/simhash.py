@@ -10,10 +10,19 @@ into blocks, each of which sees all visitors. Comparison is numpy exclusive-or
 and bit counts; what leaves a task is a spanning forest of its links, never all
 pairs, and components are joined by star rounds over edges.
 
+Fingerprints themselves are the nodes; a group's smallest doc_id is found when
+the groups are known, so ids may be any longs. Rows meet their group in joins
+with one row for each fingerprint and no aggregation above, whose large keys
+adaptive execution splits.
+
 Defined cases: null, empty and blank texts have fingerprint zero and link to
 each other; texts under three words have one shingle; a null doc_id takes part
-in links but is no one's smallest id; rows that repeat a doc_id are one
-document; an empty table gives no rows.
+in links but is no one's smallest id, and a group without any id has a null
+component_id; rows that repeat both doc_id and text are one document, of which
+``keep_one`` keeps any row; of a group it keeps the smallest doc_id (null last,
+then by a hash of the text); texts of any length are one task's Python object,
+their hashes numpy arrays; an empty table gives no rows; other columns may have
+any name.
 """
 
 from __future__ import annotations
@@ -34,8 +43,6 @@ SHINGLE = 3
 SEED = 42
 TILE = 4096
 SMALL = 32
-#: Above all real ids: stands for a group of rows without any doc_id.
-NO_ID = 1 << 62
 _LANES = np.uint64(0x0001000100010001)
 _SEGMENT = 60_000
 
@@ -71,12 +78,18 @@ def fingerprints_of(texts: list[str | None]) -> np.ndarray:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp: the fingerprint's 64 bits as a long."""
+    return _printed(doc_text(docs))
+
+
+def _printed(rows: DataFrame) -> DataFrame:
+    """``rows`` (all of type long, but for text) with fp in place of text."""
+    kept = [c for c in rows.columns if c != "text"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         got = [fingerprints_of(batch.column("text").slice(k, 500).to_pylist()) for k in range(0, batch.num_rows, 500)]
-        return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": pa.array(np.concatenate(got).view(np.int64))})
+        return pa.RecordBatch.from_pydict({c: batch.column(c) for c in kept} | {"fp": pa.array(np.concatenate(got).view(np.int64))})
 
-    return map_arrow(doc_text(docs), run, "doc_id long, fp long")
+    return map_arrow(rows, run, ", ".join(f"{c} long" for c in kept) + ", fp long")
 
 
 def tile_links(keys: np.ndarray, fps: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,27 +120,27 @@ def tile_links(keys: np.ndarray, fps: np.ndarray, home: np.ndarray, radius: int)
 
 
 def links(nodes: DataFrame, radius: int = 2) -> DataFrame:
-    """Edges (u, v) between ``rep`` of nodes (fp, rep) within the radius; a spanning forest of each task's."""
+    """Edges (u, v) between fingerprints ``fp`` within the radius; a spanning forest of each task's."""
     if radius != 2:
         raise ValueError("the block scheme is exact for a radius of 2")
     block = lambda k: F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))
     keys = [F.shiftleft(block(a), 16).bitwiseOR(block(b)) + F.lit(n << 40) for n, (a, b) in enumerate(combinations(range(4), 2))]
-    spread = nodes.select("fp", "rep", F.bit_count("fp").cast("long").alias("pop"), F.explode(F.array(*keys)).alias("key"))
+    spread = nodes.select("fp", F.bit_count("fp").cast("long").alias("pop"), F.explode(F.array(*keys)).alias("key"))
     # resident in the tile of its own count, visitor in those of counts up to the radius below
-    spread = spread.select("fp", "rep", "key", "pop", F.explode(F.sequence(F.lit(0), F.lit(radius))).alias("below"))
+    spread = spread.select("fp", "key", "pop", F.explode(F.sequence(F.lit(0), F.lit(radius))).alias("below"))
     tile = F.col("key") * 128 + F.col("pop") - F.col("below") + radius
-    spread = spread.select("fp", "rep", tile.alias("tile"), (F.col("below") == 0).alias("home"))
+    spread = spread.select("fp", tile.alias("tile"), (F.col("below") == 0).alias("home"))
     held = spread.groupBy("tile").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("homes")).where("n > 1 and homes > 0")
     held = held.select(F.col("tile").alias("t"), F.ceil(F.col("homes") / TILE).cast("int").alias("blocks"))
-    kept = spread.join(held, F.col("tile") == F.col("t")).select("fp", "rep", "tile", "home", "blocks")
+    kept = spread.join(held, F.col("tile") == F.col("t")).select("fp", "tile", "home", "blocks")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    kept = kept.select("fp", "rep", "tile", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "home", own.alias("own"))
-    kept = kept.select("fp", "rep", "tile", "block", (F.col("home") & (F.col("own") == F.col("block"))).alias("home"))
+    kept = kept.select("fp", "tile", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "home", own.alias("own"))
+    kept = kept.select("fp", "tile", "block", (F.col("home") & (F.col("own") == F.col("block"))).alias("home"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch, last in _flagged(batches):
-            cols = [np.asarray(batch.column(c)) for c in ("tile", "block", "fp", "rep", "home")]
+            cols = [np.asarray(batch.column(c)) for c in ("tile", "block", "fp", "home")]
             if rest is not None:
                 cols = [np.concatenate([a, b]) for a, b in zip(rest, cols)]
             t, b = cols[0], cols[1]
@@ -136,9 +149,9 @@ def links(nodes: DataFrame, radius: int = 2) -> DataFrame:
             rest = [c[cut:] for c in cols]
             if not cut:
                 continue
-            i, j = tile_links(key[:cut], cols[2][:cut].view(np.uint64), cols[4][:cut].astype(bool), radius)
+            i, j = tile_links(key[:cut], cols[2][:cut].view(np.uint64), cols[3][:cut].astype(bool), radius)
             if len(i):
-                u, v = forest(cols[3][i], cols[3][j])
+                u, v = forest(cols[2][i], cols[2][j])
                 yield pa.RecordBatch.from_pydict({"u": pa.array(u), "v": pa.array(v)})
 
     tiles = kept.repartition("tile", "block").sortWithinPartitions("tile", "block")
@@ -156,18 +169,32 @@ def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
         yield before, True
 
 
+def _groups(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, component) of every fingerprint; a component is named by one of its fingerprints."""
+    nodes = checkpointed(prints.select("fp").distinct())
+    found = components(links(nodes, radius))
+    return nodes.join(found, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links)."""
     prints = checkpointed(fingerprints(docs))
-    nodes = checkpointed(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID) + F.col("fp").bitwiseAND(F.lit((1 << 61) - 1))).alias("rep")))
-    found = components(links(nodes, radius))
-    groups = nodes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("component", "rep").alias("component"))
-    out = prints.join(groups, F.col("fp") == F.col("f"))
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id"))
+    groups = _groups(prints, radius)
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(groups, F.col("fp") == F.col("f")).groupBy("component").agg(F.min("least").alias("component_id"))
+    named = groups.join(least.withColumnRenamed("component", "c"), F.col("component") == F.col("c")).select("f", "component_id")
+    out = prints.join(named, F.col("fp") == F.col("f"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """``docs`` without documents that have a smaller doc_id in their component."""
+    """``docs`` with one document of every component."""
     hidden, back = shielded(docs, ("doc_id", "text"))
-    gone = near_duplicates(hidden, radius).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone"))
-    return back(hidden.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti"))
+    names = hidden.columns
+    of = [F.col("doc_id").cast("long"), F.col("text").cast("string")]
+    keyed = hidden.withColumn("_k1", F.xxhash64(F.lit(1), *of)).withColumn("_k2", F.xxhash64(F.lit(2), *of))
+    prints = checkpointed(_printed(keyed.select(of[0].alias("doc_id"), "_k1", "_k2", of[1].alias("text"))).distinct())
+    least = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2")).alias("w"))
+    least = least.join(_groups(prints, radius), F.col("fp") == F.col("f")).groupBy("component").agg(F.min("w").alias("w"))
+    stay = least.select(F.col("w._k1").alias("_k1"), F.col("w._k2").alias("_k2"))
+    # equal rows are one before they are dealt out; the join then finds them where they are
+    return back(keyed.dropDuplicates(["_k1", "_k2"]).join(stay, ["_k1", "_k2"], "left_semi").select(*names))
