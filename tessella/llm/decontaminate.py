@@ -6,20 +6,32 @@ matching length at each word tell which windows of ``window`` words (or whole
 shorter items) end there. Only runs of words that the benchmark knows, as long
 as its shortest window, can hold a match: others are skipped unread.
 
-Items are split into shards by words; a shard's automaton has at most two
-states a word, which bounds what is broadcast. With several shards, documents
-are read once for each and their hits united by document.
+Items of one text are one string. Strings are dealt by hash into shards of about
+``SHARD_WORDS`` words (long ones in pieces that overlap by a window less one
+word, so that no window is lost). A shard's automaton is built in one executor,
+as flat arrays of at most two states a word, and broadcast; the driver holds its
+bytes, one shard at a time. With one shard, documents are read once. With
+several, each shard's hits are written by a 128-bit hash of the text (hits are a
+function of the text), united, and joined with the documents; the rows are the
+same for any number of shards.
 
 Defined cases: null and empty texts have no words and are not contaminated; an
-item without words has no window; repeated items each count; repeated
-documents are rows of their own; an empty benchmark leaves all as it is.
+item without words has no window; repeated items each count, a null item_id as
+empty text; repeated documents are rows of their own; texts of any length are
+one task's Python object; an empty benchmark leaves all as it is; columns named
+n_words, spans or items are replaced by ``scan``, others may have any name and
+type.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import pickle
 import re
-from collections import defaultdict
+import uuid
+from array import array
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -27,12 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import map_arrow, shielded
+from tessella.llm.common import checkpointed, map_arrow, shielded, sliced, without
 
 #: bytes: letters of any case and digits stay (A-Z lowered), everything else ASCII parts words
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(rb"[^ ]+")
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
+PIECE_WORDS = 100_000
+CHUNK = 8 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -40,82 +54,92 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Automaton:
-    """Suffix automaton of word sequences, with the items of each window's state."""
+    """Suffix automaton of word sequences, with the items of each window's state.
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
-        self.window = window
+    A state's first transition lies in flat arrays, further ones in ``more``; likewise the window that ends in it.
+    """
+
+    def __init__(self, items: list[tuple[object, list[bytes]]], window: int):
+        self.window = self.shortest = window
         self.vocabulary: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        self.shortest = window
-        ends: list[tuple[int, int, int]] = []  # state of a window's end, its length, item number
+        self.char, self.to, self.link, self.length = (array("i", [x]) for x in (-1, -1, -1, 0))
+        self.more: dict[int, dict[int, int]] = {}
         self.ids = [i for i, w in items if w]
-        coded = []
-        for _, w in items:
-            if w:
-                coded.append([self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w])
+        coded = [array("i", [self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w]) for _, w in items if w]
         for seq in coded:
             last = 0
             for c in seq:
                 last = self._extend(last, c)
             self.shortest = min(self.shortest, len(seq))
+        self.size, self.item = (array("i", [x]) * len(self.link) for x in (0, -1))
+        self.others: dict[int, dict[int, set[int]]] = {}
         for k, seq in enumerate(coded):
             state, size = 0, min(window, len(seq))
             matched = 0
-            for n, c in enumerate(seq):
+            for n, c in enumerate(seq, 1):
                 state, matched = self.step(state, matched, c)
-                if n + 1 >= size:
+                if n >= size:
                     at = state
                     while self.length[self.link[at]] >= size:
                         at = self.link[at]
-                    ends.append((at, size, k))
-        #: state -> {window length: items}; a window belongs to the one state whose range of lengths holds it
-        self.windows: dict[int, dict[int, set[int]]] = defaultdict(dict)
-        for state, size, k in ends:
-            self.windows[state].setdefault(size, set()).add(k)
-        self.windows = dict(self.windows)
+                    # the window's items belong to the one state whose range of lengths holds it
+                    if not self.size[at]:
+                        self.size[at], self.item[at] = size, k
+                    elif (self.size[at], self.item[at]) != (size, k):
+                        self.others.setdefault(at, {}).setdefault(size, set()).add(k)
         #: the next state on the way up, itself included, that ends a window; -1 if none
-        self.up = [-1] * len(self.link)
-        for s in sorted(range(1, len(self.link)), key=self.length.__getitem__):
-            self.up[s] = s if s in self.windows else self.up[self.link[s]]
-        self.up[0] = -1
+        self.up = array("i", [-1]) * len(self.link)
+        for s in np.argsort(np.asarray(self.length), kind="stable")[1:].tolist():
+            self.up[s] = s if self.size[s] else self.up[self.link[s]]
+
+    def _go(self, state: int, c: int) -> int:
+        if self.char[state] == c:
+            return self.to[state]
+        further = self.more.get(state)
+        return -1 if further is None else further.get(c, -1)
+
+    def _put(self, state: int, c: int, to: int) -> None:
+        if self.char[state] in (-1, c):
+            self.char[state], self.to[state] = c, to
+        else:
+            self.more.setdefault(state, {})[c] = to
+
+    def _state(self, length: int, link: int) -> int:
+        for a, x in ((self.char, -1), (self.to, -1), (self.link, link), (self.length, length)):
+            a.append(x)
+        return len(self.link) - 1
 
     def _extend(self, last: int, c: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        if c in nxt[last]:
-            q = nxt[last][c]
+        length = self.length
+        if (q := self._go(last, c)) >= 0:
             return q if length[q] == length[last] + 1 else self._clone(last, c, q)
-        cur = len(nxt)
-        nxt.append({})
-        length.append(length[last] + 1)
-        link.append(0)
+        new = self._state(length[last] + 1, 0)
         p = last
-        while p != -1 and c not in nxt[p]:
-            nxt[p][c] = cur
-            p = link[p]
+        while p != -1 and (q := self._go(p, c)) < 0:
+            self._put(p, c, new)
+            p = self.link[p]
         if p != -1:
-            q = nxt[p][c]
-            link[cur] = q if length[q] == length[p] + 1 else self._clone(p, c, q)
-        return cur
+            self.link[new] = q if length[q] == length[p] + 1 else self._clone(p, c, q)
+        return new
 
     def _clone(self, p: int, c: int, q: int) -> int:
-        new = len(self.next)
-        self.next.append(dict(self.next[q]))
-        self.length.append(self.length[p] + 1)
-        self.link.append(self.link[q])
+        new = self._state(self.length[p] + 1, self.link[q])
+        self.char[new], self.to[new] = self.char[q], self.to[q]
+        if q in self.more:
+            self.more[new] = dict(self.more[q])
         self.link[q] = new
-        while p != -1 and self.next[p].get(c) == q:
-            self.next[p][c] = new
+        while p != -1 and self._go(p, c) == q:
+            self._put(p, c, new)
             p = self.link[p]
         return new
 
     def step(self, state: int, matched: int, c: int) -> tuple[int, int]:
-        while state and c not in self.next[state]:
+        while (to := self._go(state, c)) < 0:
+            if not state:
+                return 0, 0
             state = self.link[state]
             matched = self.length[state]
-        if c in self.next[state]:
-            return self.next[state][c], matched + 1
-        return 0, 0
+        return to, matched + 1
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """Half-open word ranges inside occurring windows, united, and the items met."""
@@ -128,28 +152,32 @@ class Automaton:
         long = ends - starts >= self.shortest
         spans: list[tuple[int, int]] = []
         items: set[int] = set()
-        nxt, link, length, up, windows = self.next, self.link, self.length, self.up, self.windows
+        step, link, up, sizes, item, others, shortest = self.step, self.link, self.up, self.size, self.item, self.others, self.shortest
+        char, to = self.char, self.to
+
+        def hit(size: int, end: int) -> None:
+            lo = end - size
+            while spans and lo <= spans[-1][1]:
+                lo = min(lo, spans.pop()[0])
+            spans.append((lo, end))
+
         for a, b in zip(starts[long].tolist(), ends[long].tolist()):
             state = matched = 0
             for i, c in enumerate(codes[a:b].tolist(), a + 1):
-                while state and c not in nxt[state]:
-                    state = link[state]
-                    matched = length[state]
-                if c in nxt[state]:
-                    state, matched = nxt[state][c], matched + 1
-                if matched >= self.shortest:
+                if char[state] == c:
+                    state, matched = to[state], matched + 1
+                else:
+                    state, matched = step(state, matched, c)
+                if matched >= shortest:
                     at = up[state]
                     while at > 0:
-                        for size, who in windows[at].items():
+                        if sizes[at] <= matched:
+                            items.add(item[at])
+                            hit(sizes[at], i)
+                        for size, who in others.get(at, {}).items():
                             if size <= matched:
                                 items |= who
-                                if spans and i - size <= spans[-1][1]:
-                                    lo = i - size
-                                    while spans and lo <= spans[-1][1]:
-                                        lo = min(lo, spans.pop()[0])
-                                    spans.append((lo, i))
-                                else:
-                                    spans.append((i - size, i))
+                                hit(size, i)
                         at = up[link[at]]
         return spans, items
 
@@ -167,71 +195,163 @@ class _Minus:
 _minus = _Minus()
 
 
-def shards(benchmark: DataFrame, window: int, shard_words: int = SHARD_WORDS) -> list[Automaton]:
-    """Automata over the items, each of at most ``shard_words`` words unless one item alone has more."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    out, held, size = [], [], 0
-    for r in rows.toLocalIterator():
-        w = words_of(r.text)
-        if held and size + len(w) > shard_words:
-            out.append(Automaton(held, window))
-            held, size = [], 0
-        if w:
-            held.append((r.item_id or "", w))
-            size += len(w)
-    if held or not out:
-        out.append(Automaton(held, window))
-    return out
+ITEM = "key binary, ids array<string>, words binary, n long"
 
 
-SCAN = "doc_id long, text string, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
+def strings(benchmark: DataFrame, window: int, piece_words: int = PIECE_WORDS) -> DataFrame:
+    """(key, ids, words, n): the words of every text of the items, in pieces where it is long, and the items that have it."""
+    one = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.col("text").cast("string").alias("text"))
+    one = one.where("text is not null").groupBy("text").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    step = max(1, piece_words)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 200):
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for text, ids in zip(batch.column("text").to_pylist(), batch.column("ids").to_pylist()):
+                w, key = words_of(text), hashlib.md5(text.encode("utf-8", "replace")).digest()
+                for k in range(0, max(1, len(w) - window + 1), step) if w else ():
+                    part = w[k : k + step + window - 1]
+                    for o, x in zip(out, (key, ids, b" ".join(part), len(part))):
+                        o.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.binary(), pa.list_(pa.string()), pa.binary(), pa.int64()))], ["key", "ids", "words", "n"])
 
-def _scan_shard(docs: DataFrame, automaton: Automaton, text: bool, cut: bool = False) -> DataFrame:
-    """With ``text`` the text stays, with ``cut`` without the spans hit."""
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
+    return one.mapInArrow(run, ITEM)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a = shared.value
+
+def automata(benchmark: DataFrame, window: int, shard_words: int = SHARD_WORDS) -> Iterator[bytes]:
+    """The pickled automaton of each shard, built in an executor; at least one. The first item is their number."""
+    pieces = checkpointed(strings(benchmark, window, min(PIECE_WORDS, max(1, shard_words))))
+    n = max(1, math.ceil((pieces.agg(F.sum("n")).first()[0] or 0) / shard_words))
+    yield n
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = []
+        for batch in batches:
+            for r in batch.to_pylist():
+                items.append(((r["key"], r["ids"]), r["words"].split(b" ")))
+        made = pickle.dumps(Automaton(items, window), pickle.HIGHEST_PROTOCOL)
+        parts = [made[k : k + CHUNK] for k in range(0, len(made), CHUNK)]
+        yield pa.RecordBatch.from_pydict({"at": pa.array(range(len(parts)), pa.int32()), "part": pa.array(parts, pa.binary())})
+
+    for k in range(n):
+        shard = pieces.where(F.pmod(F.xxhash64("key", "words"), F.lit(n)) == k).coalesce(1)  # shard_words words
+        yield b"".join(r.part for r in sorted(shard.mapInArrow(build, "at int, part binary").collect(), key=lambda r: r.at))
+
+
+class _Shared:
+    """A broadcast automaton; a worker unpickles it once and keeps no other."""
+
+    held: tuple[str, Automaton] | None = None
+
+    def __init__(self, broadcast):
+        self.broadcast, self.key = broadcast, uuid.uuid4().hex
+
+    def automaton(self) -> Automaton:
+        if _Shared.held is None or _Shared.held[0] != self.key:
+            _Shared.held = None
+            _Shared.held = (self.key, pickle.loads(self.broadcast.value))
+        return _Shared.held[1]
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+FOUND = "n_words long, spans array<struct<start:int,end:int>>, items array<string>"
+
+
+def _found(n: list[int], spans: list, items: list) -> dict[str, pa.Array]:
+    return {"n_words": pa.array(n, pa.int64()), "spans": pa.array([[{"start": x, "end": y} for x, y in s] for s in spans], _SPANS), "items": pa.array(items, pa.list_(pa.string()))}
+
+
+def _listed(met: dict[bytes, list[str]]) -> list[str]:
+    return sorted(i for ids in met.values() for i in ids)
+
+
+def _scan(docs: DataFrame, benchmark: DataFrame, window: int, shard_words: int, text: bool, cut: bool = False) -> DataFrame:
+    """``docs`` with FOUND; with ``text`` the text stays, with ``cut`` without the spans hit."""
+    made = automata(benchmark, window, shard_words)
+    several = next(made) > 1
+    session = docs.sparkSession.sparkContext
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text" or text]
+    names = [c for c in docs.columns if c != "text" or text]
+
+    def answer(batch: pa.RecordBatch, find) -> pa.RecordBatch:
         n, spans, items, texts = [], [], [], []
-        for t in batch.column("text").to_pylist():
+        for k, t in enumerate(batch.column("text").to_pylist()):
             w = words_of(t)
-            s, k = a.scan(w)
+            s, met = find(k, w)
             n.append(len(w))
-            spans.append([{"start": x, "end": y} for x, y in s])
-            items.append(sorted(a.ids[j] for j in k))
-            texts.append(cut_spans(t, s) if s and cut else t if cut else None)
-        cols = {name: batch.column(name) for name in batch.schema.names if name != "text" or text}
-        cols |= {"n_words": pa.array(n, pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), "items": pa.array(items, pa.list_(pa.string()))}
+            spans.append(s)
+            items.append(_listed(met))
+            texts.append(cut_spans(t, s) if s and cut else t)
+        cols = {c: batch.column(c) for c in names}
         if cut:
             cols["text"] = pa.array(texts, pa.string())
-        return pa.RecordBatch.from_pydict(cols)
+        return pa.RecordBatch.from_pydict(cols | _found(n, spans, items))
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text" or text]
-    return map_arrow(docs, run, ", ".join(fields) + ", n_words long, spans array<struct<start:int,end:int>>, items array<string>")
+    if not several:
+        shared = _Shared(session.broadcast(next(made)))
 
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            a = shared.automaton()
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_words: int = SHARD_WORDS, text: bool = True) -> DataFrame:
-    """The columns of ``docs`` with n_words, spans (word ranges hit) and items (ids met, sorted as strings)."""
-    return _scan_shards(docs, shards(benchmark, window, shard_words), window, text)
+            def find(_: int, words: list[bytes]):
+                s, met = a.scan(words)
+                return s, dict(a.ids[j] for j in met)
+
+            return answer(batch, find)
+
+        return map_arrow(docs, run, ", ".join([*fields, FOUND]))
+
+    keys = ["_k1", "_k2"]
+    keyed = docs.withColumn("_k1", F.xxhash64(F.lit(1), "text")).withColumn("_k2", F.xxhash64(F.lit(2), "text"))
+    hit = [checkpointed(_hits(keyed.select(*keys, "text"), session.broadcast(a)).dropDuplicates(keys)) for a in made]
+    united = reduce(DataFrame.unionByName, hit).groupBy(*keys).agg(F.collect_list("hit").alias("_hits"))
+
+    def unite(batch: pa.RecordBatch) -> pa.RecordBatch:
+        parts = batch.column("_hits").to_pylist()
 
+        def find(k: int, _: list[bytes]):
+            pairs, met = [], {}
+            for h in parts[k] or ():
+                pairs += [(x["start"], x["end"]) for x in h["spans"]]
+                met |= {i["key"]: i["ids"] for i in h["items"]}
+            out: list[tuple[int, int]] = []
+            for a, b in sorted(pairs):
+                if out and a <= out[-1][1]:
+                    out[-1] = (out[-1][0], max(b, out[-1][1]))
+                else:
+                    out.append((a, b))
+            return out, met
 
-def _scan_shards(docs: DataFrame, automata: list[Automaton], window: int, text: bool) -> DataFrame:
-    if len(automata) == 1:
-        return _scan_shard(docs, automata[0], text)
-    keyed = docs.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    hits = [_scan_shard(keyed.select("_row", "text"), a, False).where(F.size("spans") > 0) for a in automata]
-    united = reduce(DataFrame.unionByName, hits).dropDuplicates(["_row", "items", "spans"]).groupBy("_row").agg(F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
+        return answer(batch, find)
 
-    def join(acc, x):
-        last = F.element_at(acc, -1)
-        merged = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
-        return F.when((F.size(acc) > 0) & (x["start"] <= F.try_element_at(acc, F.lit(-1))["end"]), merged).otherwise(F.concat(acc, F.array(x)))
+    return map_arrow(keyed.join(united, keys, "left"), unite, ", ".join([*fields, FOUND]))
 
-    united = united.withColumn("spans", F.aggregate(F.array_sort("s"), F.array().cast("array<struct<start:int,end:int>>"), join)).drop("s")
-    base = _scan_shard(keyed, Automaton([], window), text).drop("spans", "items")
-    out = base.join(united, "_row", "left").drop("_row")
-    return out.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>"))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+
+HIT = "struct<spans:array<struct<start:int,end:int>>,items:array<struct<key:binary,ids:array<string>>>>"
+
+
+def _hits(rows: DataFrame, broadcast) -> DataFrame:
+    """(_k1, _k2, hit) of the texts that a shard hits."""
+    shared = _Shared(broadcast)
+    kind = pa.struct([("spans", _SPANS), ("items", pa.list_(pa.struct([("key", pa.binary()), ("ids", pa.list_(pa.string()))])))])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        a = shared.automaton()
+        at, out = [], []
+        for k, t in enumerate(batch.column("text").to_pylist()):
+            s, met = a.scan(words_of(t))
+            if s:
+                at.append(k)
+                out.append({"spans": [{"start": x, "end": y} for x, y in s], "items": [{"key": a.ids[j][0], "ids": a.ids[j][1]} for j in met]})
+        some = batch.take(pa.array(at, pa.int64()))
+        return pa.RecordBatch.from_arrays([some.column("_k1"), some.column("_k2"), pa.array(out, kind)], ["_k1", "_k2", "hit"])
+
+    return map_arrow(rows, run, f"_k1 long, _k2 long, hit {HIT}")
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_words: int = SHARD_WORDS, text: bool = True) -> DataFrame:
+    """The columns of ``docs`` with n_words, spans (word ranges hit) and items (ids met, sorted as strings)."""
+    return _scan(without(docs, ("n_words", "spans", "items")), benchmark, window, shard_words, text)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -264,11 +384,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, drop_share: f
     """``docs`` without documents that have ``drop_share`` of their words hit or more; others lose the spans hit."""
     hits = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     hidden, back = shielded(docs, ("text",))
-    automata = shards(benchmark, window, shard_words)
-    if len(automata) == 1:
-        found = _scan_shard(hidden, automata[0], True, cut=True)
-    else:
-        cut = F.udf(lambda t, s: cut_spans(t, [(x.start, x.end) for x in s]) if s else t, "string")
-        found = _scan_shards(hidden, automata, window, True).withColumn("text", cut("text", "spans"))
-    hit = found.withColumn("_hit", hits)
+    hit = _scan(hidden, benchmark, window, shard_words, True, cut=True).withColumn("_hit", hits)
     return back(hit.where(~((F.col("_hit") > 0) & (F.col("_hit") >= F.col("n_words") * F.lit(drop_share)))))

@@ -16,10 +16,10 @@ def words(text):
 
 def windows(items, size=13):
     out = {}
-    for i, text in items:
+    for row, (i, text) in enumerate(items):
         w = words(text)
         for k in range(max(1, len(w) - size + 1) if w else 0):
-            out.setdefault(tuple(w[k : k + size]), []).append(str(i))
+            out.setdefault(tuple(w[k : k + size]), []).append((row, str(i)))
     return out
 
 
@@ -31,7 +31,7 @@ def brute(text, found):
             if who := found.get(tuple(w[k : k + size])):
                 hit |= set(range(k, k + size))
                 ids |= set(who)
-    sha = hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+    sha = hashlib.sha256(",".join(sorted(i for _, i in ids)).encode()).hexdigest()
     return len(w), len(hit), len(ids), sha, bool(hit) and 20 * len(hit) >= len(w)
 
 
@@ -46,17 +46,29 @@ def test_query_equals_brute_force(spark, sf, texts):
     assert any(r[-1] for r in got)
 
 
-@pytest.mark.parametrize("shard", [10**6, 60])
+@pytest.mark.parametrize("shard", [10**6, 60, 7])
 def test_random_overlaps(spark, shard):
     rng = random.Random(shard)
     vocabulary = ["a", "b", "c", "É", "9x"]
-    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([0, 1, 4, 5, 9, 20])))) for i in range(25)] + [(99, None), (100, "a b c a b c")] * 2
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([0, 1, 4, 5, 9, 20])))) for i in range(25)] + [(99, None), (100, "a b c a b c"), (101, "b, B!")] * 2 + [(102, "b b"), (103, " ".join(["a", "b", "c"] * 40))]
     docs = [(i, "-".join(rng.choice(vocabulary + ["zz"]) for _ in range(rng.randrange(60)))) for i in range(60)] + [(60, None), (61, "")]
     found = windows(items, 5)
     got = rows(D.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), 5, shard))
     assert got == sorted((i, *brute(t, found)) for i, t in docs)
 
 
+@pytest.mark.parametrize("shard", [10**6, 4])
+def test_repeated_items_and_any_columns(spark, shard):
+    bench = spark.createDataFrame([(1, "one two three"), (1, "one two three"), (2, "One two, three"), (3, "four five"), (None, "four five")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x one two three y", {"a": 1}, 5, "z"), (1, "x one two three y", {"b": 1}, 6, "z"), (2, None, None, None, None), (3, "four five", {}, 7, "z")], "doc_id long, text string, m map<string,int>, N_words int, spans string")
+    got = D.scan(docs, bench, 13, shard)
+    assert got.columns == ["doc_id", "text", "m", "n_words", "spans", "items"]
+    assert sorted((r.doc_id, r.n_words, [tuple(x) for x in r.spans], r["items"]) for r in got.collect()) == [(1, 5, [(1, 4)], ["1", "1", "2"])] * 2 + [(2, 0, [], []), (3, 2, [(0, 2)], ["", "3"])]
+    kept = D.clean(docs, bench, 13, shard_words=shard)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [2]
+    assert sorted(r.n_items for r in D.report(docs, bench, 13, shard).collect()) == [0, 2, 3, 3]
+
+
 def test_clean_cuts_spans_and_drops_the_worst(spark, sf, texts, odd, nothing):
     item = " ".join(f"item{k}" for k in range(20))
     own = lambda i, n: " ".join(f"own{i}x{k}" for k in range(n))
