@@ -2,19 +2,25 @@
 
 Texts are cut where no piece of the vocabulary can reach across (before a run
 of word marks, around line ends), so that each cut word can be encoded alone.
-The distinct words that a worker has not met lie in flat numpy symbol arrays:
-a round looks up the rank of every adjacent pair, takes the minimum per word,
-merges all leftmost occurrences of it at once and compacts, until no word has a
-pair left. The ids equal those of the library's own encoder.
+The distinct words that a worker has not met lie in flat numpy symbol arrays,
+cut once more between characters that no piece holds side by side: a round looks
+up the rank of every adjacent pair, takes the minimum per segment, merges all
+leftmost occurrences of it at once and compacts, until no segment has a pair
+left. A segment of more than ``LONG`` characters would need as many rounds as it
+has ranks; its pairs are merged off a heap in the same order, in time that grows
+with its length alone. The ids equal those of the library's own encoder.
 
 Defined cases: null and empty texts give the begin and end ids alone; control
 strings in a text are ordinary text; characters without a piece become byte
-pieces; repeated rows give repeated rows; an empty table gives no rows.
+pieces; texts and words of any length are encoded whole, a text being one task's
+Python object; repeated rows give repeated rows; an empty table gives no rows;
+only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -29,6 +35,7 @@ from tessella.llm.common import doc_text, sliced
 MARK = "▁"
 NONE = np.int64(1 << 40)
 STEP = 500
+LONG = 400
 LEARN = 8_000  # words that are merged in one set of flat arrays
 CACHE_WORDS = 300_000  # words a worker remembers; beyond, only those of its last batch stay
 
@@ -109,6 +116,9 @@ class Codec:
             if model.byte[i]:
                 self.byte_id[int(p[3:5], 16)] = i
         self.words: dict[str, tuple[bytes, bytes]] = {}
+        #: characters that some piece holds side by side
+        self.beside = np.unique(np.array([(ord(a) << 21) | ord(b) for p in long for a, b in zip(p, p[1:])], np.int64))
+        self.table: dict[int, tuple[int, int]] = {}
 
     def _pairs(self, sym: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and made piece of the pair that begins at each symbol."""
@@ -124,11 +134,26 @@ class Codec:
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of non-empty words, and how many each has."""
         lens = np.fromiter(map(len, words), np.int64, len(words))
-        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         sym = self.char_id[chars].astype(np.int64)
         sym[sym < 0] = -1 - chars[sym < 0].astype(np.int64)
-        word = np.repeat(np.arange(len(words)), lens)
+        owner = np.repeat(np.arange(len(words)), lens)
+        apart = np.concatenate([[False], owner[1:] != owner[:-1]])
+        if len(self.beside):
+            pair = (chars[:-1].astype(np.int64) << 21) | chars[1:]
+            apart[1:] |= self.beside[np.minimum(np.searchsorted(self.beside, pair), len(self.beside) - 1)] != pair
+        word = np.cumsum(apart)  # of segments, from here on
+        owner = owner[np.concatenate([[0], np.nonzero(apart)[0]])]
         done_sym, done_word = [], []
+        sizes = np.bincount(word)
+        for k in np.nonzero(sizes > LONG)[0].tolist():
+            at = int(np.searchsorted(word, k))
+            merged = self._merged(sym[at : at + sizes[k]])
+            done_sym.append(merged)
+            done_word.append(np.full(len(merged), k))
+        if done_sym:
+            short = sizes[word] <= LONG
+            sym, word = sym[short], word[short]
         while len(sym):
             rank, made = self._pairs(sym, word[:-1] == word[1:])
             first = np.nonzero(np.concatenate([[True], word[1:] != word[:-1]]))[0]
@@ -161,7 +186,36 @@ class Codec:
         sym, word = sym[order], word[order]
         if (sym < 0).any():
             sym, word = self._bytes(sym, word)
-        return sym, np.bincount(word, minlength=len(words))
+        return sym, np.bincount(owner[word], minlength=len(words))
+
+    def _merged(self, sym: np.ndarray) -> np.ndarray:
+        """The symbols of one long segment, merged by rank and then from the left, off a heap."""
+        if not self.table:
+            self.table = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist())))
+        table, n = self.table, len(sym)
+        rank, _ = self._pairs(sym, np.ones(n - 1, bool))
+        at = np.nonzero(rank < NONE)[0]
+        heap = ((rank[at] << 40) | at).tolist()
+        heapq.heapify(heap)
+        now, after, before = sym.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        gone = bytearray(n)
+        place = (1 << 40) - 1
+        while heap:
+            top = heapq.heappop(heap)
+            i = top & place
+            j = after[i]
+            if gone[i] or j >= n:
+                continue
+            got = table.get((now[i] << 32) | now[j]) if now[i] >= 0 <= now[j] else None
+            if got is None or got[0] != top >> 40:
+                continue
+            now[i], gone[j], after[i] = got[1], 1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < n and now[a] >= 0 <= now[b] and (got := table.get((now[a] << 32) | now[b])):
+                    heapq.heappush(heap, (got[0] << 40) | a)
+        return np.array([x for x, g in zip(now, gone) if not g], np.int64)
 
     def _bytes(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols without a piece as their UTF-8 bytes' pieces."""

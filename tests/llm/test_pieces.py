@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import sentencepiece
@@ -24,6 +25,25 @@ def test_equals_the_library():
     check(pieces.codec(pieces.default_model()).run(texts), texts)
 
 
+def test_long_unbroken_words():
+    rng = random.Random(8)
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    english = "the of and to in that which from were been also other language information processing although".split()
+    texts = [
+        "".join(rng.choices(lower, k=1_000_000)),
+        "".join(rng.choices(lower + lower.upper() + "0123456789+/", k=1_000_000)),
+        "".join(rng.choices(english, k=100_000)),
+        "the" * 100_000,
+        "a" * 300_001,
+        "".join(rng.choices("漢字仮名交文章的了是", k=200_000)),
+    ]
+    texts += ["".join(rng.choices(["ab", "a", "the", "ing", "é", "\u0301", "😀", "="], k=rng.randrange(300, 900))) for _ in range(60)]
+    start = time.perf_counter()
+    got = pieces.codec(pieces.default_model()).run(texts)
+    assert time.perf_counter() - start < 60
+    check(got, texts)
+
+
 def test_query_over_documents(spark, sf, texts):
     got = {r.doc_id: r for r in queries.op2_sentencepiece(spark, sf).collect()}
     assert got.keys() == texts.keys()
