@@ -66,8 +66,34 @@ def test_ties_and_hot_copies(spark):
 def test_blocks_change_nothing(spark, monkeypatch):
     rows = [(r.vec_id, list(r.embedding), 0) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
     whole = found(ann.nearest(frame(spark, rows), F.col("vec_id") % 50 == 0))
-    monkeypatch.setattr(ann, "BLOCK", 7)
-    assert found(ann.nearest(frame(spark, rows), F.col("vec_id") % 50 == 0)) == whole
+    for name, value in (("PAIRS", 40), ("SCORED", 640), ("ROWS_BYTES", 5000)):
+        monkeypatch.setattr(ann, name, value)
+    assert found(ann.nearest(frame(spark, rows), F.col("vec_id") % 50 == 0, block=4)) == whole
+
+
+def test_few_pairs_are_scored_in_a_large_table():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((50_000, 64))  # no structure: the hardest case
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q, n = x[:200], ann.hashes_for(len(x), 64)
+    assert n == 2 and ann.hashes_for(3_000_000, 64) == 3
+    codes = np.stack([ann.probed_codes(q, t, n, ann.PROBES * ann.STEP ** (n - 1)) for t in range(ann.TABLES)], 1)
+    best = ann.Best(ann.Block(np.arange(200), q, codes), 6)
+    for a in range(0, len(x), 5000):
+        best.add(np.arange(a, a + 5000), x[a : a + 5000], ann.bucket_codes(x[a : a + 5000], ann.TABLES, n))
+    near = np.argsort(-(q @ x.T), 1)[:, :6]
+    recall = np.mean([len(set(best.held[1][best.held[0] == k]) & set(near[k])) - 1 for k in range(200)]) / 5
+    share = best.pairs / (200 * len(x))
+    print(f"recall {recall:.3f}, share of pairs scored {share:.4f}")
+    assert recall >= 0.9 and share < 0.1
+
+
+def test_a_vector_is_in_its_nearest_bucket():
+    rng = np.random.default_rng(5)
+    for dim in (2, 3, 64, 300):
+        x = rng.standard_normal((50, dim))
+        first = np.stack([ann.probed_codes(x, t, 2, 5)[:, 0] for t in range(3)], 1)
+        assert (first == ann.bucket_codes(x, 3, 2)).all()
 
 
 def test_hadamard_is_orthogonal():
