@@ -11,13 +11,17 @@ is made up of such runs.
 
 Candidates meet by 64-bit hash first, without text. Those met more than once
 are then compared by their bytes, as grouping keys, and all but the first
-occurrence (by doc_id, then row, then line) lose their lines.
+occurrence (by doc_id, then row, then line) lose their lines. Hashes that hold
+more than one in ``HOT`` of all candidates, so at most ``HOT`` hashes, are
+broadcast, and their occurrences never meet in one task.
 
 Defined cases: null stays null and empty stays empty; a text that only repeats
 others becomes empty, its row stays; blank lines count as lines; rows that
-repeat both doc_id and text are one document; a null doc_id comes first; where
-occurrences overlap within a text, all lines from the second on go; an empty
-table gives no rows. Other columns may have any name.
+repeat both doc_id and text are one document, known by 128 bits of hash; a null
+doc_id comes first; where occurrences overlap within a text, all lines from the
+second on go; repeats of fewer than ``chunk_words`` words, or in no chunk and of
+at most ``passage_words``, stay; a text of any length is one task's Python
+object; an empty table gives no rows. Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -32,12 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import checkpointed, shielded, sliced
+from tessella.sources.scratch import written
 
 WIDTH = 2
 DIVISOR = 4
 CHUNK_WORDS = 20
 PASSAGE_WORDS = 50
 STEP = 500
+HOT = 10_000
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 1 << 64)
 
@@ -90,8 +96,12 @@ def _split(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "replace").split(b"\n")
 
 
+KEY = ["_ld_k1", "_ld_k2"]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_ld_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text"), F.lit(1)))
+    of = [F.col("doc_id").cast("long"), F.col("text")]
+    return docs.withColumn(KEY[0], F.xxhash64(F.lit(1), *of)).withColumn(KEY[1], F.xxhash64(F.lit(2), *of))
 
 
 def dedup(docs: DataFrame, divisor: int = DIVISOR, chunk_words: int = CHUNK_WORDS, passage_words: int = PASSAGE_WORDS, counts: bool = False) -> DataFrame:
@@ -101,39 +111,46 @@ def dedup(docs: DataFrame, divisor: int = DIVISOR, chunk_words: int = CHUNK_WORD
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, STEP):
-            keys, starts, ends, hashes = [], [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for s, e, h in candidates_of(_split(text), divisor, chunk_words, passage_words):
-                    keys.append(key)
-                    starts.append(s)
-                    ends.append(e)
-                    hashes.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(hashes, pa.int64())], ["_ld_key", "s", "e", "h"])
-
-    found = checkpointed(keyed.select("_ld_key", "text").mapInArrow(find, "_ld_key long, s int, e int, h long"))
-    again = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("h2"))
-    runs = found.join(again, F.col("h") == F.col("h2")).groupBy("_ld_key").agg(F.collect_set(F.struct("s", "e", "h")).alias("_ld_runs"))
-    runs = runs.withColumnRenamed("_ld_key", "_ld_k")
+            runs = [candidates_of(_split(t), divisor, chunk_words, passage_words) for t in batch.column("text").to_pylist()]
+            owner = pa.array(np.repeat(np.arange(len(runs)), [len(r) for r in runs]))
+            flat = [pa.array([x[k] for r in runs for x in r], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(owner) for c in KEY), *flat], [*KEY, "s", "e", "h"])
+
+    found = checkpointed(keyed.select(*KEY, "text").mapInArrow(find, "_ld_k1 long, _ld_k2 long, s int, e int, h long"))
+    again = checkpointed(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    many = (again.agg(F.sum("n")).first()[0] or 0) / HOT
+    hot = F.broadcast(again.where(F.col("n") > many).select(F.col("h").alias("h2")))  # fewer than HOT rows
+    rest = again.where(F.col("n") <= many).select(F.col("h").alias("h2"))
+    marks = F.struct("s", "e", "h")
+    same = F.col("h") == F.col("h2")
+    met = found.join(hot, same).unionByName(found.join(hot, same, "left_anti").join(rest, same))
+    runs = met.groupBy(*KEY).agg(F.collect_set(marks).alias("_ld_runs"))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, STEP):
-            out: dict[str, list] = {c: [] for c in ("h", "bytes", "digest", "doc_id", "key", "s", "e")}
-            cols = [batch.column(c).to_pylist() for c in ("doc_id", "_ld_key", "text", "_ld_runs")]
-            for doc_id, key, text, marks in zip(*cols):
+            out: dict[str, list] = {c: [] for c in ("h", "bytes", "digest", "doc_id", *KEY, "s", "e")}
+            cols = [batch.column(c).to_pylist() for c in ("doc_id", *KEY, "text", "_ld_runs")]
+            for doc_id, k1, k2, text, marks in zip(*cols):
                 lines = _split(text)
                 for m in marks:
                     run = b"\n".join(lines[m["s"] : m["e"]])
-                    for c, v in zip(out, (m["h"], run, hashlib.md5(run).digest(), doc_id, key, m["s"], m["e"])):
+                    for c, v in zip(out, (m["h"], run, hashlib.md5(run).digest(), doc_id, k1, k2, m["s"], m["e"])):
                         out[c].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], list(out))
-
-    # mapInArrow keeps all columns, so that both joins with the documents can share one exchange
-    occurrences = keyed.join(runs, F.col("_ld_key") == F.col("_ld_k")).mapInArrow(texts, "h long, bytes binary, digest binary, doc_id long, key long, s int, e int")
-    place = F.struct(F.col("doc_id"), F.col("key"), F.col("s"))
-    first = occurrences.groupBy("h", "bytes").agg(F.min(place).alias("first"), F.min("digest").alias("d2"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("h2"), "d2", "first")
+            types = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], list(out))
+
+    # written by column: bytes that repeat are stored once, and read once
+    occurrences = written(keyed.join(runs, KEY).mapInArrow(texts, "h long, bytes binary, digest binary, doc_id long, _ld_k1 long, _ld_k2 long, s int, e int"))
+    place = F.struct("doc_id", *KEY, "s")
+    first = occurrences.groupBy("h", "bytes").agg(F.min(place).alias("first"), F.min("digest").alias("d2"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = checkpointed(first.select(F.col("h").alias("h3"), "d2", "first", "n"))
     # bytes made the groups; a run finds its group by its digests, so that text is not shuffled again
-    later = occurrences.join(first, (F.col("h") == F.col("h2")) & (F.col("digest") == F.col("d2"))).where(~place.eqNullSafe(F.col("first")))
-    cuts = later.groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("_ld_cuts")).withColumnRenamed("key", "_ld_k")
+    places = occurrences.drop("bytes")
+    of_group = (F.col("h") == F.col("h3")) & (F.col("digest") == F.col("d2"))
+    many = (first.agg(F.sum("n")).first()[0] or 0) / HOT
+    large = F.broadcast(first.where(F.col("n") > many))  # fewer than HOT rows
+    later = places.join(large, of_group).unionByName(places.join(large, of_group, "left_anti").join(first.where(F.col("n") <= many), of_group))
+    cuts = later.where(~place.eqNullSafe(F.col("first"))).groupBy(*KEY).agg(F.collect_set(F.struct("s", "e")).alias("_ld_cuts"))
     names_out = list(hidden.columns)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in hidden.schema]
 
@@ -155,5 +172,5 @@ def dedup(docs: DataFrame, divisor: int = DIVISOR, chunk_words: int = CHUNK_WORD
             yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = ", ".join(fields) + (", n_lines long, n_removed long" if counts else "")
-    out = keyed.join(cuts, F.col("_ld_key") == F.col("_ld_k"), "left").mapInArrow(cut, schema)
+    out = keyed.join(cuts, KEY, "left").mapInArrow(cut, schema)
     return out.toDF(*docs.columns, "n_lines", "n_removed") if counts else back(out)
