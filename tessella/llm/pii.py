@@ -12,7 +12,10 @@ the result is that of decoding whole texts.
 
 Found cards must pass the checksum and addresses have parts up to 255, whoever
 found them. Defined cases: null and empty texts have no spans; offsets are code
-points; repeated rows count; an empty table gives no rows.
+points; where a found span meets a base one, the base one alone stays; texts of
+any length are read whole, some megabyte at a time or one text; repeated rows
+count; an empty table gives no rows; only doc_id and text are read, so other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -90,56 +93,79 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-#: The labelled table: spans are marked [kind|text].
+#: The labelled table: spans are marked [kind|text]. Every line and value is made up for it (networks and numbers
+#: reserved for examples, the card schemes' own test numbers, digits and letters typed at random).
 LABELLED = (
     "please write to [email|anna.berg@mail3.example.com] before noon, thanks.",
     "Kontakt: [email|m_klein@firma.example.de] oder telefonisch [phone|+49 (30) 555-0199] erreichbar.",
     "escribe a [email|lola99@correo.example.es], por favor, y espera.",
-    "the last line.[email|77@mail9.example.com] and then some more words follow here",
+    "questions go to the list.[email|77@lists.example.org] and are answered within a week",
     "votre adresse [email|j.petit@poste.example.fr] est connue de nous.",
-    "the host [ip|97.51.17.173] answered and then it closed.",
+    "mailto:[email|office-2@example.net] | Betreff | Anfrage",
+    "the host [ip|192.0.2.17] answered and then it closed.",
     "Server [ip|10.0.0.254], der andere ist [ip|192.168.1.20] und der ist langsam.",
-    "de [ip|8.8.4.4] que la red no responde. Fin.",
-    "depuis [ip|161.17.88.162] | le serveur | est là | encore",
-    "ban [ip|248.40.198.62] now, wait, and so on",
+    "de [ip|198.51.100.4] que la red no responde. Fin.",
+    "depuis [ip|203.0.113.162] | le serveur | est là | encore",
+    "ban [ip|203.0.113.9] now, wait, and so on",
+    "connect to [ip|198.51.100.77]:8080 and log in",
     "my card is [card|4539578763621486] and it expires soon.",
     "Karte [card|4111 1111 1111 1111] wurde belastet, sagt man.",
     "tarjeta [card|5500005555555559] | queda | lista",
     "numéro [card|4012888888881881], merci de payer.",
     "pay with [card|4111-1111-1111-1111] today. Next one is free",
-    "call [phone|+1 (974) 555-3436] now or never.",
-    "call me at [phone|(974) 555-3436] after the meeting, please.",
-    "ring [phone|(407) 555-7710], ask for the manager.",
+    "call [phone|+1 (202) 555-0143] now or never.",
+    "call me at [phone|(202) 555-0171] after the meeting, please.",
+    "ring [phone|(303) 555-0118], ask for the manager.",
+    "her number: [phone|(415) 555-0190]",
     "Tel. [phone|+44 20 7946 0958] und dann weiter im Text",
     "llama al [phone|+34 912 345 678] por la tarde.",
     "appelez le [phone|+33 1 70 18 99 00] demain matin.",
     "fax [phone|555-010-2233] is still in use.",
-    "or dial [phone|487-555-7209] for the front desk",
-    'token = [secret|"04dbebab91ab85687d33eeaaf9ac699e1188f962"] and then text',
-    'erti token = [secret|"cb1a9fee807a05366fcb8b6c95c7c565ede51a72"]',
-    'mit token = [secret|"2abc3ff2ca8fb1e4c565a0eb63815530a948bdde"]### und so weiter',
-    "api key [secret|9f86d081884c7d659a2feaa0c55ad015a3bf4f1b] must not be shared.",
-    "password hash [secret|5e884898da28047151d0e56f8dc6292773603d0d6aabbdd6] leaked.",
+    "or dial [phone|487-555-0109] for the front desk",
+    "mobile [phone|612-555-0162] or mail, either will do",
+    "phone [phone|(773) 555-0134] | fax | none",
+    "my cell is [phone|(206) 555-0155]. Call any time!",
+    "text [phone|503-555-0187], she reads everything",
+    'token = [secret|"5d1f0c77be29a4e36608f1d2b93c4a7e0182d6f5"] and then text',
+    'set token = [secret|"e07a4b91c2d8356f1b0c9e7d4a2f6835719cd0ab"]',
+    'mit token = [secret|"13fb8e20d7c64a5990e1f3b2c8d7a6405e9b1c72"]! und so weiter',
+    "api key [secret|c40d9e1b7f2a63585d0e4c9b8a7f1632d5e0b948] must not be shared.",
+    "password hash [secret|0b9d7e4f1a2c5638e7d0b4f9c1a6283574de90fb16c8a3d2] leaked.",
+    "secret: [secret|7be1d04c9f2a68535e0d1c7b94fa2e60]",
+    "the key is [secret|d81f30c69a7b4e25f0c1d93e8b7a6452], keep it safe",
+    "export SECRET=[secret|4f9a0d3c7e1b8256] and restart",
+    "apikey [secret|a9c81e7d0f3b42569d0e1f7c] | rotated | daily",
+    "auth [secret|f00d7a1e93cb4d82a6e05c17b94d2f38e1c07a65d3b9f841027ce6ad59b0c3f7] expired yesterday",
+    "Schlüssel [secret|92b7c0e4d1fa83650c9e2d7b4f1a8635], nicht weitergeben",
+    "la clave [secret|6c0f2e9d8b7a14533e1d0c9f8a7b6254] caduca hoy",
+    "jeton [secret|b4e7d19c0a2f8365c7e0d4b9f1a26358] à renouveler",
     "the quick brown fox jumps over the lazy dog. And again, it did so!",
-    "Of the inanin, thonst aonthrein thedtiou anon. Th of inth onston.",
-    "THE!! EDTIONTION!! ANERING!! OF!! ERATER!! IS!! A!! LINE!!",
-    "thouhe$$$ and&&& ththonble*** of%%% en%%% erhe.### Th,&&& ti. nding###",
-    "whntou | inerononha | stthwh | eredan. | theaornd. | thtianon",
+    "Rain fell on the old harbour all night. By morning the boats had gone.",
+    "STOP!! READ!! THIS!! BEFORE!! YOU!! SIGN!! ANYTHING!!",
+    "win$$$ big&&& prizes*** now%%% friend### act,&&& fast. today###",
+    "apples | pears and plums | cherries | grapes. | nuts, | figs",
     "Les élèves étaient là; où est-il? C'est tout, n'est-ce pas...",
     "Öffnen Sie die Tür, bitte. Größe und Maß für die Straße (neu).",
     "El niño comió ñoquis; ¿verdad? ¡Sí! (así es) y más.",
+    "Lundi, mardi et jeudi. Puis rien. Et voilà: la fin, enfin!",
+    "Der Zug, der um acht fuhr, kam nie an. Schade. Wirklich?",
     "in 1999 there were 25 people, 3 dogs and 12,500 birds.",
     "chapter 4.2 covers section 10.1 in 300 pages (see figure 7)",
     "version 3.0 was released on 2021-05-04 at 10:30, build 4711.",
-    "order 473696257 shipped, 2 of 3 boxes, total 19.99 euros",
-    "This work is licensed under the GNU General Public License, version 3.",
+    "order 880125513 shipped, 2 of 3 boxes, total 19.99 euros",
+    "item 60417733 and item 915 are out of stock",
+    "Released under a public licence, version 2, with no warranty.",
     "Copyright 2019 The Authors. All rights reserved. Version 2.0 applies.",
     "a - b + c = d; x == y; f(x) = 2x + 1, see eq. (3)",
     "https://www.example.com/path/page-2.html?id=3 is a link, not a person",
     "serial 1234567890123456 fails, 99999 too, number 7.",
     "room 12-34 of the 5th floor, line 9 (of 20)",
     "e-mail is a well-known word and @home is a handle",
-    "Die. Und. Der. Les. Avec. The. A. Of, Is, It; was: on",
+    "antidisestablishmentarianism and Donaudampfschifffahrtsgesellschaft are long words",
+    "model X200-B45 and part 77-1204-A are not made any more",
+    "call on us, or write (any day but Sunday), room (12)",
+    "the token of our thanks is a key to the city, no secret",
+    "pages 101-118, figures (1) to (12), tables 3-5",
 )
 
 _MARK = re.compile(r"\[(\w+)\|([^\]]*)\]")
