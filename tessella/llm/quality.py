@@ -14,8 +14,10 @@ the temperature that calibrates its probabilities.
 Defined cases: null and empty texts are the average of nothing (zeros) and get
 a score as any other; labels that are null are not used; a doc_id with several
 labels takes the largest; with labels of one kind only, or none, every score is
-that kind's share (half, if none); repeated rows count; an empty table gives no
-rows.
+that kind's share (half, if none); equal scores are no matter, as rows are not
+ranked; repeated rows count; texts of any length are read whole, some megabyte
+at a time or one text; an empty table gives no rows; only doc_id and text are
+read, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -25,6 +25,66 @@ def test_held_out_ranking(spark):
     assert np.mean((s - y) ** 2) < np.mean((y.mean() - y) ** 2)  # better than the base rate
 
 
+def naive_units(text):
+    """Buckets of a text's units, one run of bytes after the other."""
+    data, out, i, before = (text or "").encode(), [], 0, None
+    kind = lambda c: 0 if c <= 32 else 1 if chr(c).isalpha() and c < 128 or c >= 128 else 2 if 48 <= c <= 57 else c + 128
+    mask, odd, mix = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+
+    def bucket(code):
+        code = code * mix & mask
+        return ((code ^ code >> 32) * mix & mask) >> 51
+
+    while i < len(data):
+        k, j = kind(data[i]), i
+        while j < len(data) and kind(data[j]) == k:
+            j += 1
+        run, n = data[i:j], j - i
+        i = j
+        if k == 0:
+            continue
+        code = sum((c + 33 if 65 <= c <= 90 else c + 1) * pow(odd, p, 1 << 64) for p, c in enumerate(run)) & mask
+        code = 7 + min(n, 32) if k == 2 else k * 16 + min(n, 8) + 1000 if k > 2 else code
+        out.append(bucket(code))
+        if k == 1:
+            upper = [65 <= c <= 90 for c in run]
+            case = 0 if not any(upper) else 1 if all(upper) else 2 if sum(upper) == 1 and upper[0] else 3
+            out.append(bucket(1 << 41 if before == (1, code) else (1 << 40) + case * 64 + min(n, 24)))
+        before = (k, code)
+    return out
+
+
+def test_query_equals_brute_force(spark, sf, texts):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels, ~quality_held())
+    got = {r.doc_id: r for r in queries.op4_quality(spark, sf).collect()}
+    assert got.keys() == texts.keys()
+    place, sign = quality.index_vectors()
+    sums = np.zeros((quality.BUCKETS, quality.DIM))
+    for t in texts.values():
+        u = naive_units(t)
+        for i in range(len(u)):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(u):
+                    np.add.at(sums[u[i]], place[u[j]], sign[u[j]])
+    index = np.zeros_like(sums)
+    for b in range(quality.BUCKETS):
+        np.add.at(index[b], place[b], sign[b])
+    unit = lambda x: x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
+    vectors = unit(sums) + unit(index)
+    for i, t in texts.items():
+        u = naive_units(t)
+        x = vectors[u].mean(0) if u else np.zeros(quality.DIM)
+        z = np.tanh((x - model.mean) / model.scale @ model.w1 + model.b1) @ model.w2 + model.b2
+        p = 1 / (1 + np.exp(-z / model.temperature))
+        assert got[i].score == pytest.approx(p, abs=1e-5)
+        assert got[i].predicted == int(got[i].score >= 0.3)
+
+
+def quality_held():
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
 def test_context_sums_equal_a_count():
     texts = ["a b c a", None, "B b"]
     place, sign = quality.index_vectors()
