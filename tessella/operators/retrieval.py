@@ -7,14 +7,18 @@ arithmetic over the scan and end in a top-k per partition: no shuffle of text.
 
 from __future__ import annotations
 
+import datetime
 import math
+import re
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions.text import normalize_filter, strip
+from tessella.operators.indexing import INDEX_FIELDS
 from tessella.sources.scratch import written
 
 K1, B = 1.2, 0.75
@@ -22,19 +26,24 @@ RRF_K = 60
 TOP_K, TOP_N = 15, 15
 #: weights of the searchable fields are equal: one text of all
 SEARCH_FIELDS = ("section_title", "topic", "subtopic", "content")
-HIT_FIELDS = ("chunk_id", "source", "source_pdf_url", "source_pdf_name", "chunk_index", "page_start", "page_end", "topic", "subtopic", "section_title", "section", "content", "content_type", "is_table", "is_figure", "metadata_json")
-# Filters and source order are only right with exactly these.
+#: index fields that a hit leaves out
+UNSHOWN = {"heading_level", "region", "energy_utility_name", "has_table", "has_figure", "table_count", "figure_count"}
+HIT_FIELDS = (*(f for f in INDEX_FIELDS if f not in UNSHOWN), "metadata_json")
+# Filters, source order, prompt and answer are only right with exactly these.
 CONTENT_TYPES = ("text", "table", "figure", "list")
 PRIORITY_SOURCES = ("esco doc", "esco operating")
-NO_HITS = "No relevant information was found in the indexed documents."
+PROMPT = "Use the following source chunks to answer the question.\n\n=== SOURCE CHUNKS ===\n{context}\n\n=== QUESTION ===\n{question}"
+NO_HITS = "I couldn't find relevant information for that question in the indexed documents. Try rephrasing, or check that the documents have been indexed."
+HISTORY_TURNS, REWRITE_TURNS, REWRITE_CHARS = 6, 4, 200
 
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def query_terms(spark, query: str) -> list[str]:
-    return sorted(set(spark.range(1).select(tokens(F.lit(query)).alias("t")).first().t))
+def query_terms(query: str) -> list[str]:
+    """Distinct terms of a literal: what ``tokens`` gives, without a job (runs of letters and digits of any script)."""
+    return sorted(set(re.findall(r"[^\W_]+", query.lower())))
 
 
 def filters(content_type: str | None = None, source: str | None = None) -> list[Column]:
@@ -56,7 +65,7 @@ def filtered(index: DataFrame, content_type: str | None = None, source: str | No
 
 def bm25_topk(docs: DataFrame, query: str, k: int, key: str = "chunk_id", text: Column | str = "content") -> DataFrame:
     """key, score, rank of the ``k`` best by BM25; rows without any term are none."""
-    terms = query_terms(docs.sparkSession, query)
+    terms = query_terms(query)
     if not terms:
         return docs.limit(0).select(key, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
     one = F.col(text) if isinstance(text, str) else text
@@ -125,14 +134,14 @@ def hybrid_search(index: DataFrame, query: str, vector: list[float], top_k: int
     best = rrf(bm25_topk(rows, query, 2 * top_k, text=searchable()), vector_topk(rows, vector, 2 * top_k), top_k)
     best = best.select("chunk_id", F.col("score").alias("_score"), F.col("rank").alias("_rank"))
     hits = rows.select(*[c for c in HIT_FIELDS if c in index.columns]).join(F.broadcast(best), "chunk_id")  # top_k rows
-    return hits.withColumn("_caption", caption(F.col("content"), query_terms(index.sparkSession, query)))
+    return hits.withColumn("_caption", caption(F.col("content"), query_terms(query)))
 
 
 def coverage(query: str) -> Callable[[DataFrame], Column]:
     """Default scorer: the share of query terms that a hit's preview has."""
 
     def score(hits: DataFrame) -> Column:
-        terms = query_terms(hits.sparkSession, query)
+        terms = query_terms(query)
         found = F.array_intersect(tokens(F.substring(F.coalesce("content", F.lit("")), 1, 400)), F.array(*map(F.lit, terms)))
         return F.size(found) / F.lit(len(terms)) if terms else F.lit(0.0)
 
@@ -160,7 +169,7 @@ def rerank_by_reply(hits: DataFrame, reply: str, n: int, top_n: int = TOP_N) ->
 
 
 def build_context(hits: DataFrame, order: list | None = None) -> DataFrame:
-    """One row ``context``: numbered sources, those of priority first, otherwise in the order of the hits."""
+    """One row ``context``: numbered sources, those of priority first, otherwise in the order of the hits; a null field is empty, a null type text."""
     name = F.lower(F.coalesce(F.nullif("source_pdf_name", F.lit("")), "source", F.lit("")))
     later = F.lit(1)
     for p in PRIORITY_SOURCES:
@@ -168,7 +177,10 @@ def build_context(hits: DataFrame, order: list | None = None) -> DataFrame:
     n = F.row_number().over(W.orderBy(later, *(order or ["_rank"])))
     start, end = F.coalesce("page_start", F.lit(0)), F.col("page_end")
     page = F.when(start == 0, "").when(start == end, F.format_string("  (Page %d)", start)).otherwise(F.format_string("  (Pages %d–%s)", start, F.coalesce(end.cast("string"), F.lit("None"))))
-    part = F.concat(F.lit("[SOURCE "), F.col("n").cast("string"), F.lit("] ["), F.upper("content_type"), F.lit("] "), F.col("section"), F.col("page"), F.lit("\n"), F.col("content"), F.lit("\n"))
+    named = [F.col(c) for c in ("section", "section_title") if c in hits.columns]
+    section = F.coalesce(*named, F.lit(""))
+    kind = F.upper(F.coalesce("content_type", F.lit("text")))
+    part = F.concat(F.lit("[SOURCE "), F.col("n").cast("string"), F.lit("] ["), kind, F.lit("] "), section, F.col("page"), F.lit("\n"), F.coalesce("content", F.lit("")), F.lit("\n"))
     rows = hits.withColumn("page", page).withColumn("n", n).select("n", part.alias("part"))
     return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "part"))), lambda x: x["part"]), "\n---\n").alias("context"))
 
@@ -179,7 +191,7 @@ def last_turns(history: Column, n: int) -> Column:
 
 def recent_conversation(history: Column) -> Column:
     """The last four turns, 200 characters of each, for a query rewriter; empty without any."""
-    said = F.transform(last_turns(history, 4), lambda t: F.concat(F.upper(t["role"]), F.lit(": "), F.substring(t["content"], 1, 200)))
+    said = F.transform(last_turns(history, REWRITE_TURNS), lambda t: F.concat(F.upper(t["role"]), F.lit(": "), F.substring(t["content"], 1, REWRITE_CHARS)))
     return F.array_join(said, "\n")
 
 
@@ -194,20 +206,81 @@ def refined(reply: Column, question: Column) -> Column:
 def answer_messages(system: str, history: Column, context: Column, question: Column) -> Column:
     """Roles and contents for a generator: system prompt, six last turns, context with the question."""
     turn = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
-    kept = F.transform(last_turns(history, 6), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
-    asked = F.concat(F.lit("Context:\n"), context, F.lit("\n\nQuestion: "), question)
+    kept = F.transform(last_turns(history, HISTORY_TURNS), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
+    head, middle, tail = re.split(r"\{context\}|\{question\}", PROMPT)
+    asked = F.concat(F.lit(head), context, F.lit(middle), question, F.lit(tail))
     return F.concat(F.array(turn("system", F.lit(system))), kept, F.array(turn("user", asked)))
 
 
-def chat(index: DataFrame, question: str, embedder: Callable[[list[str]], list[list[float]]], refine: Callable[[str], str] | None = None, scorer=None, generate: Callable[[str, str], str] | None = None, source: str | None = None, content_type: str | None = None, top_k: int = TOP_K, top_n: int = TOP_N) -> tuple[str, DataFrame]:
-    """The answer and its hits. The refined question searches, the question as asked reranks."""
-    asked = refine(question) if refine else question
+class Answer(NamedTuple):
+    answer: str
+    hits: DataFrame
+    refined_query: str
+    original_query: str
+
+
+def chat(
+    index: DataFrame,
+    question: str,
+    embedder: Callable[[list[str]], list[list[float]]],
+    history: list[dict] | None = None,
+    refine: Callable[[str, str], str] | None = None,
+    scorer=None,
+    generate: Callable[[list[dict]], str] | None = None,
+    source: str | None = None,
+    content_type: str | None = None,
+    top_k: int = TOP_K,
+    top_n: int = TOP_N,
+    reranking: bool = True,
+    system: str = "",
+    no_hits: str = NO_HITS,
+) -> Answer:
+    """Answers a question from the index.
+
+    ``history``: the turns before, each with role and content. ``refine`` gets the
+    question and the recent conversation and gives a rewriter's reply; the refined
+    question searches, the question as asked reranks. ``generate`` gets the
+    messages (system prompt, last turns, context with the question); without it
+    the answer is the context. ``hits`` is a table that is computed once.
+    """
+    session, history = index.sparkSession, history or []
+    asked = question
+    if refine is not None:
+        turns = session.createDataFrame([([(t["role"], t["content"]) for t in history],)], "h array<struct<role:string,content:string>>")
+        reply = refine(question, turns.select(recent_conversation(F.col("h")).alias("t")).first().t)
+        asked = session.range(1).select(refined(F.lit(reply), F.lit(question)).alias("q")).first().q
     hits = hybrid_search(index, asked, embedder([asked])[0], top_k, content_type, source)
-    best = rerank(hits, scorer or coverage(question), top_n)
-    context = build_context(best, [F.desc("_rerank_score"), "_rank"]).first().context
+    best = written(rerank(hits, scorer or coverage(question), top_n)) if reranking else written(hits)
+    order = [F.desc("_rerank_score"), "_rank"] if reranking else ["_rank"]
+    context = build_context(best, order).first().context
     if not context:
-        return NO_HITS, best
-    return (generate(question, context) if generate else context), best
+        return Answer(no_hits, best, asked, question)
+    if generate is None:
+        return Answer(context, best, asked, question)
+    messages = [{"role": "system", "content": system}, *({"role": t["role"], "content": t["content"]} for t in history[-HISTORY_TURNS:]), {"role": "user", "content": PROMPT.format(context=context, question=question)}]
+    return Answer(generate(messages).strip(), best, asked, question)
+
+
+def chat_default(index: DataFrame, question: str, embedder, history: list[dict] | None = None, generate=None, source: str | None = None, content_type: str | None = None, scorer=None, system: str = "") -> Answer:
+    """The service's own settings: no refinement, reranking, fifteen hits; a content type is accepted and not used."""
+    return chat(index, question, embedder, history, None, scorer, generate, source, None, 15, 15, True, system)
+
+
+def plain(value):
+    """A hit's value as JSON knows it: lists and maps inside, anything else as text."""
+    if isinstance(value, dict):
+        return {k: plain(v) for k, v in value.items()}
+    if isinstance(value, (list, tuple)):
+        return [plain(v) for v in value]
+    if value is None or isinstance(value, (str, int, float, bool)):
+        return value
+    return value.isoformat(sep=" ") if isinstance(value, datetime.datetime) else str(value)
+
+
+def plain_hits(hits: DataFrame) -> list[dict]:
+    """At most ``TOP_N`` or so hits, as a caller outside Spark gets them, best first."""
+    order = [F.desc("_rerank_score")] if "_rerank_score" in hits.columns else []
+    return [plain(r.asDict(recursive=True)) for r in hits.orderBy(*order, "_rank").collect()]
 
 
 def normalized(value: Column) -> Column:

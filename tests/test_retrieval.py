@@ -80,7 +80,52 @@ def test_prompts(spark):
     assert [r.q for r in got] == ["new", "quoted", "old", '{"standalone_query": "cut', "{}"]
 
 
+def test_context_keeps_hits_with_null_fields(spark):
+    hits = [(1, "x", "a.pdf", 1, 1, "S", "text", "x", "T"), (2, "x", None, None, None, None, None, "y", "T"), (3, None, None, 2, None, None, "table", None, None)]
+    got = R.build_context(spark.createDataFrame(hits, HIT + ", section_title string")).first().context
+    assert got == "[SOURCE 1] [TEXT] S  (Page 1)\nx\n\n---\n[SOURCE 2] [TEXT] T\ny\n\n---\n[SOURCE 3] [TABLE]   (Pages 2–None)\n\n"
+
+
+def test_query_terms_equal_column_tokens(spark):
+    for q in ("Apple PIE_x, 3½ Ünï-cødé!", "", "漢字 a_b", "²①"):
+        assert R.query_terms(q) == sorted(set(spark.range(1).select(R.tokens(F.lit(q)).alias("t")).first().t))
+
+
 def test_chat(spark):
-    answer, hits = R.chat(index(spark, ROWS), "green apple", I.hash_embedding, top_k=3, generate=lambda q, c: f"{q}: {c.count('SOURCE')}")
-    assert answer == "green apple: 3" and hits.orderBy(F.desc("_rerank_score")).first().chunk_id == "a"
-    assert R.chat(index(spark, ROWS), "x", I.hash_embedding, source="no.pdf")[0] == R.NO_HITS
+    seen = []
+
+    def generate(messages):
+        seen.append(messages)
+        return f" {messages[-1]['content'].count('[SOURCE')} "
+
+    ix = index(spark, ROWS)
+    got = R.chat(ix, "green apple", I.hash_embedding, top_k=3, generate=generate, system="be exact")
+    assert got.answer == "3" and got.hits.orderBy(F.desc("_rerank_score")).first().chunk_id == "a"
+    assert [m["role"] for m in seen[0]] == ["system", "user"] and seen[0][0]["content"] == "be exact"
+    assert seen[0][-1]["content"].endswith("=== QUESTION ===\ngreen apple")
+    none = R.chat(ix, "x", I.hash_embedding, source="no.pdf")
+    assert none.answer == R.NO_HITS and none.hits.count() == 0
+
+
+def test_chat_with_history(spark):
+    seen, asked = [], []
+    history = [{"role": "user" if k % 2 == 0 else "assistant", "content": f"turn {k} " + "x" * 300} for k in range(9)]
+
+    def refine(question, recent):
+        asked.append((question, recent))
+        return '{"standalone_query": "blue sky"}'
+
+    got = R.chat(index(spark, ROWS), "and its colour?", I.hash_embedding, history, refine, generate=lambda m: seen.append(m) or "done", top_k=2)
+    assert (got.refined_query, got.original_query, got.answer) == ("blue sky", "and its colour?", "done")
+    [(question, recent)] = asked
+    assert question == "and its colour?" and recent == "\n".join(f"{t['role'].upper()}: {t['content'][:200]}" for t in history[-4:])
+    assert seen[0][1:-1] == history[-6:] and "b" in {r.chunk_id for r in got.hits.collect()}
+    whole = R.chat(index(spark, ROWS), "and its colour?", I.hash_embedding, history, lambda q, r: "", top_k=2, reranking=False)
+    assert whole.refined_query == "and its colour?" and "_rerank_score" not in whole.hits.columns
+
+
+def test_default_profile_and_plain_hits(spark):
+    got = R.chat_default(index(spark, ROWS), "apple", I.hash_embedding, content_type="table")
+    hits = R.plain_hits(got.hits)
+    assert {h["chunk_id"] for h in hits} == {"a", "b", "c", "d"} and [h["_rerank_score"] for h in hits] == sorted((h["_rerank_score"] for h in hits), reverse=True)
+    assert R.plain({"a": (1, None, [b"x"]), "d": __import__("datetime").date(2020, 1, 2)}) == {"a": [1, None, ["b'x'"]], "d": "2020-01-02"}
