@@ -62,12 +62,12 @@ def layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as session rows: the text's first word asks, source answers, so that questions repeat."""
+    """Documents as session rows: the text asks, source answers; copies of a text repeat its question."""
     docs = table(spark, sf_dir, "documents")
     return docs.select(
         F.concat(F.lit("s"), F.expr("doc_id div 40").cast("string")).alias("session_id"),
         F.concat(F.lit("m"), (F.col("doc_id") % 30).cast("string")).alias("msg_id"),
-        F.coalesce(F.regexp_extract(F.coalesce("text", F.lit("")), "^([A-Za-z]+)", 1), F.lit("")).alias("question"),
+        F.coalesce("text", F.lit("")).alias("question"),
         F.col("source").alias("answer"),
         F.lit(None).cast("string").alias("feedback"),
         F.date_format(F.timestamp_seconds(F.lit(1700000000) + F.col("doc_id") * 60), "yyyy-MM-dd HH:mm:ss").alias("created_at"),
@@ -107,8 +107,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that have an embedding, as index rows of one chunk each."""
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    """All documents as index rows of one chunk each; the vector is null where there is no embedding."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
     text = F.coalesce("text", F.lit(""))
     from tessella.functions import text as T
 
@@ -137,7 +137,7 @@ CONTENT_TYPE_SQL = f"""CASE WHEN strpos(c, '|') > 0 AND (strpos(c, '[Figure') >
 SQL = {
     "markdown": """SELECT 'conversation ' || conv_id || '.md' AS source, 'conversations' AS utility, '# Conversation ' || conv_id || chr(10) ||
  string_agg('<!-- PageNumber="' || (turn + 1) || '" -->' || chr(10) || '## ' || role || chr(10) || chr(10) || text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id""",
-    "session_rows": """SELECT 's' || doc_id // 40 AS session_id, 'm' || (doc_id % 30) AS msg_id, coalesce(regexp_extract(coalesce(text, ''), '^([A-Za-z]+)', 1), '') AS question, source AS answer,
+    "session_rows": """SELECT 's' || doc_id // 40 AS session_id, 'm' || (doc_id % 30) AS msg_id, coalesce(text, '') AS question, source AS answer,
  CAST(NULL AS VARCHAR) AS feedback, strftime(make_timestamp((1700000000 + doc_id * 60) * 1000000), '%Y-%m-%d %H:%M:%S') AS created_at FROM documents""",
     "paths": """SELECT CASE WHEN doc_id % 3 = 0 THEN source || '/read-' || doc_id || '.pdf' WHEN doc_id % 17 = 0 THEN source || '/sub/' || doc_id || '.pdf' WHEN doc_id % 19 = 0 THEN doc_id || '.pdf'
  ELSE source || '/' || doc_id || '.pdf' END AS path, doc_id AS mtime, n_chars AS size FROM documents WHERE source IS NOT NULL
@@ -147,7 +147,7 @@ SQL = {
  UNION ALL SELECT CAST(vec_id AS VARCHAR), list_reverse(embedding), vec_id + 1000000 FROM embeddings WHERE vec_id % 5 = 0""",
     "index": f"""SELECT *, {CONTENT_TYPE_SQL.replace("(c,", "(content,")} AS content_type FROM (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, source || '.md' AS source, source || CASE WHEN doc_id % 4 = 0 THEN ' ESCO Doc.pdf' ELSE '.pdf' END AS source_pdf_name,
  CAST(doc_id AS INTEGER) AS chunk_index, CAST(doc_id % 5 AS INTEGER) AS page_start, CAST(doc_id % 5 + doc_id % 2 AS INTEGER) AS page_end, source AS topic, lang AS subtopic, lang AS section_title,
- concat_ws(' > ', source, lang) AS section, coalesce(text, '') AS content, embedding AS content_vector FROM documents JOIN embeddings ON doc_id = vec_id)""",
+ concat_ws(' > ', source, lang) AS section, coalesce(text, '') AS content, embedding AS content_vector FROM documents LEFT JOIN embeddings ON doc_id = vec_id)""",
     "layout": """SELECT doc_id, coalesce(text, '') AS content, greatest(CAST(ceil(length(coalesce(text, '')) / 1000) AS INTEGER), 1) AS n, greatest(CAST(ceil(length(coalesce(text, '')) / 700) AS INTEGER), 1) AS np FROM documents""",
     "html_tables": """SELECT r_regionkey, 'before <table class=''r''>' || chr(10) || '<tr><th>key</th><th>' || r_name || '</th><th></th></tr>' ||
  string_agg('<tr><td>' || n_nationkey || '</td>' || chr(10) || '<td><b>' || n_name || '</b>|x</td></tr>', chr(10) ORDER BY n_nationkey) || '</table> after' AS html FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_regionkey, r_name""",

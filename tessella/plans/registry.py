@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
@@ -132,12 +132,16 @@ def markdown_blocks(spark, sf_dir):
     return C.markdown_blocks(inputs.markdown(spark, sf_dir), ["source"]).withColumn("headings", F.array_join("headings", " > "))
 
 
-@query("SELECT conv_id, string_agg(role, ' > ' ORDER BY turn) AS section FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n <= 3 GROUP BY conv_id")
+@query(
+    """SELECT conv_id, string_agg(role || ' ' || turn, ' > ' ORDER BY turn) AS section, CAST(count(*) AS INTEGER) AS depth, any_value(role || ' ' || turn ORDER BY turn DESC) AS title
+ FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations) WHERE n > (total - 1) // 4 * 4 GROUP BY conv_id"""
+)
 def heading_breadcrumb(spark, sf_dir):
-    """A level deeper at each of three turns: the stack holds all three roles."""
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("turn", "role"))), 1, 3).alias("t"))
-    heads = F.transform("t", lambda x, i: F.struct((i + 1).alias("lvl"), x["role"].alias("txt")))
-    return turns.select("conv_id", C.breadcrumb(C.heading_stack(heads))["section"].alias("section"))
+    """A level deeper at each turn, back to the first after four: the stack holds the turns since then."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    heads = F.transform("t", lambda x, i: F.struct((i % 4 + 1).alias("lvl"), F.concat_ws(" ", x["role"], x["turn"].cast("string")).alias("txt")))
+    found = C.breadcrumb(C.heading_stack(heads))
+    return turns.select("conv_id", found["section"].alias("section"), found["heading_level"].alias("depth"), found["section_title"].alias("title"))
 
 
 PARAGRAPHS = f"""paragraphs AS (SELECT conv_id, turn, role, p, q, string_agg(block, chr(10) || chr(10) ORDER BY n) AS t FROM blocks GROUP BY conv_id, turn, role, p, q)"""
@@ -157,23 +161,56 @@ def chunk_documents(spark, sf_dir):
 
 
 @query(
-    """SELECT conv_id, string_agg(k || ': ' || v, chr(10) ORDER BY o) AS content FROM (SELECT conv_id, CASE turn % 3 WHEN 0 THEN 'PROCESS NAME' WHEN 1 THEN 'PROCESS NUMBER' ELSE 'Owner' END AS k, role AS v, CASE turn % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 3 END AS o
- FROM conversations WHERE turn < 3) GROUP BY conv_id"""
+    """SELECT conv_id, string_agg(k || ': ' || v, chr(10) ORDER BY o) AS content FROM (SELECT conv_id, CASE turn WHEN 0 THEN 'PROCESS NAME' WHEN 1 THEN 'PROCESS NUMBER' ELSE 'Turn ' || turn END AS k, role AS v, CASE turn WHEN 0 THEN -1 WHEN 1 THEN -2 ELSE turn END AS o
+ FROM conversations) GROUP BY conv_id"""
 )
 def process_table(spark, sf_dir):
-    """Three turns of every conversation as a process table, in the order of the keys."""
-    key = F.when(F.col("turn") == 0, "PROCESS NAME:").when(F.col("turn") == 1, "PROCESS NUMBER").otherwise("Owner")
-    rows = table(spark, sf_dir, "conversations").where("turn < 3").select("conv_id", "turn", F.concat(F.lit("<tr><td>"), key, F.lit("</td><td>"), "role", F.lit("</td></tr>")).alias("r"))
+    """All turns of every conversation as a process table: known keys first, then the others as they come."""
+    key = F.when(F.col("turn") == 0, "PROCESS NAME:").when(F.col("turn") == 1, "PROCESS NUMBER").otherwise(F.concat(F.lit("Turn "), F.col("turn").cast("string")))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("<tr><td>"), key, F.lit("</td><td>"), "role", F.lit("</td></tr>")).alias("r"))
     html = rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "r"))), lambda x: x["r"]), "\n").alias("r"))
     html = html.select("conv_id", F.concat(F.lit("<table>\n"), "r", F.lit("\n</table>")).alias("t"))
     return C.markdown_blocks(html, ["conv_id"], "t").select("conv_id", F.col("text").alias("content"))
 
 
-@query()
+@query("SELECT custkey, 'Key | ' || c_custkey || chr(10) || 'Name | ' || c_name || chr(10) || 'Segment | ' || c_mktsegment || ' | ' || n_name AS content FROM (SELECT c_custkey AS custkey, * FROM customer) JOIN nation ON c_nationkey = n_nationkey")
+def generic_table(spark, sf_dir):
+    """A table that is no process, with cells that hold tags and rows without text."""
+    c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows
+    text = lambda x: F.col(x).cast("string")
+    html = F.concat(
+        F.lit("<table>\n<tr><th>Key</th><td>"), text("c_custkey"), F.lit("</td></tr>\n<tr><td> </td></tr>\n<TR class='x'><td><b>Name</b></td><td>"),
+        text("c_name"), F.lit("</td></TR>\n<tr><td>Segment</td><td>"), text("c_mktsegment"), F.lit("</td><td>"), text("n_name"), F.lit("</td></tr>\n</table>"),
+    )
+    rows = c.select(F.col("c_custkey").alias("custkey"), html.alias("t"))
+    return C.markdown_blocks(rows, ["custkey"], "t").select("custkey", F.col("text").alias("content"))
+
+
+@query("SELECT p_partkey, '[Figure Caption] ' || p_name || chr(10) || '[Figure Description] Part of ' || p_brand || chr(10) || '[Figure Content] ' || p_name || ' ' || p_type || ' and its price ' || p_size AS content FROM part")
+def figure_text(spark, sf_dir):
+    """A figure with caption, description and text of every part."""
+    html = F.concat(F.lit("<figure>\n<figcaption>"), "p_name", F.lit("</figcaption>\n<!-- AI Description: Part  of\n "), "p_brand", F.lit(" -->\n"), "p_type", F.lit(" ✓ and <i>its</i> price "), F.col("p_size").cast("string"), F.lit("\n</figure>"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", html.alias("t"))
+    return C.markdown_blocks(rows, ["p_partkey"], "t").select("p_partkey", F.col("text").alias("content"))
+
+
+PACK_SQL = f"""{TURN_BLOCKS}, {PARAGRAPHS}, pieces AS (SELECT conv_id, 2 * turn AS o, t, false AS atomic FROM paragraphs UNION ALL SELECT conv_id, 2 * turn + 1, '| ' || role || ' | ' || turn || ' |', true FROM conversations),
+ p AS MATERIALIZED (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY o) AS i, t, atomic, length(t) AS n FROM pieces),
+ walk AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, '' AS win, CAST(0 AS BIGINT) AS used, CAST(NULL AS VARCHAR) AS done FROM (SELECT DISTINCT conv_id FROM p)
+ UNION ALL SELECT w.conv_id, p.i, CASE WHEN fits THEN CASE WHEN win = '' THEN t ELSE win || chr(10) || chr(10) || t END WHEN atomic OR tail = '' THEN t ELSE tail || chr(10) || chr(10) || t END,
+ CASE WHEN fits THEN used + n WHEN atomic OR tail = '' THEN n ELSE length(tail) + 2 + n END, CASE WHEN fits THEN NULL ELSE win END
+ FROM (SELECT *, {sql_strip("right(win, 320)")} AS tail FROM walk) w JOIN (SELECT * FROM p) p ON p.conv_id = w.conv_id AND p.i = w.i + 1, LATERAL (SELECT used + n <= 2400 OR (atomic AND win = '') AS fits)),
+ windows AS (SELECT conv_id, i, 0 AS k, done AS content FROM walk WHERE done <> '' UNION ALL SELECT conv_id, i, 1, win FROM (SELECT *, max(i) OVER (PARTITION BY conv_id) AS last FROM walk) WHERE i = last AND win <> '')"""
+
+
+@query(f"WITH RECURSIVE {PACK_SQL} SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY i, k) - 1 AS INTEGER) AS chunk_index, {sql_strip('content')} AS content FROM windows")
 def pack_sections(spark, sf_dir):
-    """Windows over documents with tables between their lines; the tests hold packing against traced cases."""
-    docs = spread(table(spark, sf_dir, "documents")).select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("source"), F.lit("u").alias("utility"), F.regexp_replace("text", r"\n", "\n| a | b |\n").alias("text"))
-    return C.chunk_documents(docs).select("source", "chunk_index", "content", "content_type", "table_count")
+    """Windows over turns with a table after each: text that overflows takes a tail along, tables stay whole."""
+    turns = table(spark, sf_dir, "conversations")
+    part = F.concat("text", F.lit("\n| "), "role", F.lit(" | "), F.col("turn").cast("string"), F.lit(" |"))
+    docs = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("p")))), lambda x: x["p"]), "\n").alias("text"))
+    docs = docs.select(F.col("conv_id").cast("string").alias("source"), F.lit("u").alias("utility"), "text")
+    return C.chunk_documents(docs).select(F.col("source").cast("long").alias("conv_id"), "chunk_index", "content")
 
 
 # Sessions
@@ -243,16 +280,45 @@ def session_repair(spark, sf_dir):
 
 
 @query(
-    """SELECT conv_id, CAST(count(*) + CASE WHEN conv_id % 2 = 1 OR count(*) FILTER (turn = 2) = 0 THEN 1 ELSE 0 END AS INTEGER) AS n_messages, CAST(CASE WHEN conv_id % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS n_rated FROM conversations GROUP BY conv_id"""
+    f"""SELECT conv_id, string_agg(k || '=' || q || '/' || a || '/' || f || '/' || '{NOW}', ' ' ORDER BY o) AS messages FROM (
+ SELECT conv_id, turn AS o, 'm' || turn AS k, md5(text) AS q, '' AS a, CASE WHEN conv_id % 2 = 0 AND turn = 2 THEN 'good' ELSE '-' END AS f FROM conversations
+ UNION ALL SELECT conv_id, 1000000000, 'm2', md5(''), '', 'good' FROM conversations WHERE conv_id % 2 = 0 GROUP BY conv_id HAVING count(*) FILTER (turn = 2) = 0
+ UNION ALL SELECT conv_id, 1000000000, 'new', md5('q'), 'a', '-' FROM conversations WHERE conv_id % 2 = 1 GROUP BY conv_id) GROUP BY conv_id"""
 )
 def attach_feedback(spark, sf_dir):
     """Feedback on message m2 of every second conversation, one more message in all others."""
-    turn = S.message(F.concat(F.lit("m"), F.col("turn").cast("string")), F.col("text"), F.lit(""), None, F.lit(NOW))
-    records = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("messages"))
+    turns = table(spark, sf_dir, "conversations").withColumn("m", S.message(F.concat(F.lit("m"), F.col("turn").cast("string")), F.col("text"), F.lit(""), None, F.lit(NOW)))
+    records = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "m"))).alias("t")).select("conv_id", F.transform("t", lambda x: x["m"]).alias("messages"))
     rated = S.attach_feedback(F.col("messages"), F.lit("m2"), F.lit("good"), NOW)
     more = S.append_message(F.col("messages"), "new", "q", "a", NOW)
     out = records.select("conv_id", F.when(F.col("conv_id") % 2 == 0, rated).otherwise(more).alias("m"))
-    return out.select("conv_id", F.size("m").alias("n_messages"), F.size(F.filter("m", lambda x: x["feedback"] == "good")).alias("n_rated"))
+    said = F.transform("m", lambda x: F.concat(x["msgId"], F.lit("="), F.md5(x["question"].cast("binary")), F.lit("/"), x["answer"], F.lit("/"), F.coalesce(x["feedback"], F.lit("-")), F.lit("/"), x["created_at"]))
+    return out.select("conv_id", F.array_join(said, " ").alias("messages"))
+
+
+RECORDS = "SELECT conv_id, string_agg('m' || turn || '@' || CASE WHEN turn = (SELECT min(turn) FROM conversations x WHERE x.conv_id = c.conv_id) THEN 'then' ELSE '' END, ' ' ORDER BY turn) AS messages FROM conversations c"
+
+
+@query(f"{RECORDS} WHERE conv_id % 3 <> 2 GROUP BY conv_id UNION ALL SELECT conv_id, '' FROM conversations WHERE conv_id % 3 = 2 GROUP BY conv_id")
+def load_records(spark, sf_dir):
+    """Records from a first store, else a second, else empty; the session's time goes to a first message without one."""
+    turns = table(spark, sf_dir, "conversations").withColumn("m", S.message(F.concat(F.lit("m"), F.col("turn").cast("string")), F.col("text"), F.lit(""), None, F.lit("")))
+    every = turns.groupBy(F.col("conv_id").alias("session_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "m"))).alias("t"))
+    store = every.select("session_id", F.lit("then").alias("created_at"), F.transform("t", lambda x: x["m"]).alias("messages"))
+    first, second = store.where("session_id % 3 = 0"), store.where("session_id % 3 <= 1")
+    got = S.load_records(every, first, second)
+    return got.select(F.col("session_id").alias("conv_id"), F.array_join(F.transform("messages", lambda m: F.concat(m["msgId"], F.lit("@"), m["created_at"])), " ").alias("messages"))
+
+
+@query("SELECT DISTINCT session_id, msg_id FROM (SELECT 's' || doc_id // 40 AS session_id, 'm' || (doc_id % 60) AS msg_id FROM labels) k WHERE EXISTS (SELECT 1 FROM (" + ROWS + ") r WHERE r.session_id = k.session_id AND r.msg_id = k.msg_id)")
+def has_message(spark, sf_dir):
+    keys = table(spark, sf_dir, "labels").select(F.concat(F.lit("s"), F.expr("doc_id div 40").cast("string")).alias("session_id"), F.concat(F.lit("m"), (F.col("doc_id") % 60).cast("string")).alias("msg_id")).distinct()
+    return S.has_message(inputs.session_rows(spark, sf_dir), keys)
+
+
+@query("SELECT page_id, regexp_replace(url, '[^\\p{L}\\p{M}\\p{N}\\p{Pc}-]', '_', 'g') || '.json' AS file FROM pages")
+def session_file(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.session_file(F.col("url")).alias("file"))
 
 
 @query("SELECT CAST(conv_id AS VARCHAR) AS id, conv_id AS position, CASE WHEN conv_id % 2 = 0 THEN 'new' ELSE 'old' END AS payload FROM conversations GROUP BY conv_id UNION ALL SELECT 'x' || conv_id, (SELECT max(conv_id) FROM conversations) + 1 + conv_id, 'new' FROM conversations GROUP BY conv_id")
@@ -370,9 +436,20 @@ def html_table_to_markdown(spark, sf_dir):
     return inputs.html_tables(spark, sf_dir).select("r_regionkey", L.html_table_to_markdown(F.col("html")).alias("md"))
 
 
-@query(f"WITH {MD_TABLE} SELECT r_regionkey, true AS updated, 'before ' || md || ' after' AS html FROM md")
+CELLS = """cells AS (SELECT page_id, regexp_replace(regexp_replace(url, '\\s+', ' ', 'g'), '\\|', '\\\\|', 'g') AS a, CAST(length(html) AS VARCHAR) AS b FROM pages)"""
+DRAWN = """'| url' || repeat(' ', greatest(length(a), 3) - 3) || ' | size' || repeat(' ', greatest(length(b), 4) - 4) || ' |' || chr(10) || '| ' || repeat('-', greatest(length(a), 3)) || ' | ' || repeat('-', greatest(length(b), 4)) || ' |' || chr(10) ||
+ '| ' || a || repeat(' ', greatest(length(a), 3) - length(a)) || ' | ' || b || repeat(' ', greatest(length(b), 4) - length(b)) || ' |'"""
+
+
+@query(f"WITH {MD_TABLE}, {CELLS} SELECT 'r' || r_regionkey AS id, true AS updated, 'before ' || md || ' after' AS html FROM md UNION ALL SELECT 'p' || page_id, true, html || {DRAWN} || 'tail' FROM cells JOIN pages USING (page_id) UNION ALL SELECT 'q' || page_id, false, html FROM pages")
 def convert_tables(spark, sf_dir):
-    return L.reprocess(inputs.html_tables(spark, sf_dir), "html").select("r_regionkey", "updated", "html")
+    """Tables of the regions, all pages with a table after them, and all pages as they are."""
+    pages = table(spark, sf_dir, "pages")
+    more = F.concat(F.lit("<table><tr><th>url</th><th>size</th></tr>\n<tr><td>"), "url", F.lit("</td><td>"), F.length("html").cast("string"), F.lit("</td></tr></table>tail"))
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string")).alias("id")
+    rows = inputs.html_tables(spark, sf_dir).select(name("r", "r_regionkey"), "html")
+    rows = rows.unionByName(pages.select(name("p", "page_id"), F.concat("html", more).alias("html"))).unionByName(pages.select(name("q", "page_id"), "html"))
+    return L.reprocess(rows, "html").select("id", "updated", "html")
 
 
 # Embedding and index state
@@ -391,19 +468,28 @@ def _uploads(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("chunk_id"), (F.col("quality") == 1).alias("uploaded"))
 
 
-@query(f"SELECT chunk_id, round(CAST(list_extract(v, 1) AS DOUBLE), 6) AS first_value, CAST(len(v) AS INTEGER) AS dim FROM (SELECT chunk_id, arg_max(vector, seq) AS v FROM ({VECTORS}) GROUP BY chunk_id)")
+def checksum(v: str) -> Column:
+    """Every component of a vector, by its place."""
+    return F.round(F.aggregate(F.transform(v, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x), 4)
+
+
+CHECKSUM = "round(list_sum(list_transform(range(1, len({v}) + 1), lambda i: CAST(list_extract({v}, i) AS DOUBLE) * i)), 4)"
+
+
+@query(f"SELECT chunk_id, {CHECKSUM.format(v='v')} AS checksum, CAST(len(v) AS INTEGER) AS dim FROM (SELECT chunk_id, arg_max(vector, seq) AS v FROM ({VECTORS}) GROUP BY chunk_id)")
 def latest_vector(spark, sf_dir):
     v = I.latest_vectors(inputs.vectors(spark, sf_dir))
-    return v.select("chunk_id", F.round(F.get("vector", F.lit(0)).cast("double"), 6).alias("first_value"), F.size("vector").alias("dim"))
+    return v.select("chunk_id", checksum("vector").alias("checksum"), F.size("vector").alias("dim"))
 
 
-@query("SELECT CAST(vec_id AS VARCHAR) AS chunk_id, vec_id AS seq, 2 AS dim FROM embeddings WHERE vec_id < 200")
+@query(f"SELECT CAST(vec_id AS VARCHAR) AS chunk_id, vec_id AS seq, {CHECKSUM.format(v='embedding')} AS checksum FROM embeddings WHERE vec_id < (SELECT max(vec_id) - 9 FROM embeddings)")
 def vector_lines(spark, sf_dir):
-    """Lines of a cache that has a broken line at 200: what follows is not read."""
+    """Lines of a cache that has a broken line near its end: what follows is not read."""
     v = table(spark, sf_dir, "embeddings")
-    good = F.concat(F.lit('{"chunk_id": "'), F.col("vec_id").cast("string"), F.lit('", "vector": [0.5, 1]}'))
-    lines = v.select(F.col("vec_id").alias("seq"), F.when(F.col("vec_id") == 200, '{"chunk_id": "x", "vec').otherwise(good).alias("line"))
-    return I.vector_lines(lines).select("chunk_id", "seq", F.size("vector").alias("dim"))
+    last = v.agg(F.max("vec_id")).first()[0] or 0
+    good = F.to_json(F.struct(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").alias("vector")))
+    lines = v.select(F.col("vec_id").alias("seq"), F.when(F.col("vec_id") == last - 9, '{"chunk_id": "x", "vec').otherwise(good).alias("line"))
+    return I.vector_lines(lines).select("chunk_id", "seq", checksum("vector").alias("checksum"))
 
 
 @query(f"SELECT chunk_id FROM ({CHUNKS}) WHERE chunk_id NOT IN (SELECT chunk_id FROM ({VECTORS}))")
@@ -424,42 +510,61 @@ def index_stats(spark, sf_dir):
     return I.stats(_chunks(spark, sf_dir), inputs.vectors(spark, sf_dir), _uploads(spark, sf_dir))
 
 
-@query("SELECT CAST(item_id AS VARCHAR) AS chunk_id, CASE WHEN item_id % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM benchmark UNION ALL SELECT 'n' || item_id, 'new' FROM benchmark")
+@query("SELECT CAST(doc_id AS VARCHAR) AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN md5('new' || coalesce(text, '')) ELSE md5(coalesce(text, '')) END AS state FROM documents UNION ALL SELECT 'n' || doc_id, md5(coalesce(text, '')) FROM documents")
 def index_upsert(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("chunk_id"), "item_id")
-    new = b.where("item_id % 3 = 0").select("chunk_id").union(b.select(F.concat(F.lit("n"), "chunk_id"))).withColumn("state", F.lit("new"))
-    return I.upsert(b.select("chunk_id", F.lit("old").alias("state")), new)
+    """A third of the documents again with other content, and every one under a new id."""
+    text = F.coalesce("text", F.lit(""))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("chunk_id"), F.md5(text.cast("binary")).alias("state"), F.md5(F.concat(F.lit("new"), text).cast("binary")).alias("later"))
+    new = d.where("doc_id % 3 = 0").select("chunk_id", F.col("later").alias("state")).union(d.select(F.concat(F.lit("n"), "chunk_id"), "state"))
+    return I.upsert(d.select("chunk_id", "state"), new)
 
 
 @query(
-    """WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS t FROM benchmark), p AS (SELECT item_id, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 64 AS place, sum(CASE WHEN CAST('0x' || substr(md5(t), 9, 1) AS BIGINT) < 8 THEN 1 ELSE -1 END) AS v FROM w GROUP BY 1, 2)
- SELECT CAST(item_id AS VARCHAR) AS chunk_id, CAST(place AS INTEGER) AS place, round(v / sqrt(sum(v * v) OVER (PARTITION BY item_id)), 4) AS value FROM p WHERE v <> 0"""
+    """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')) AS t FROM documents), p AS (SELECT doc_id, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 64 AS place, sum(CASE WHEN CAST('0x' || substr(md5(t), 9, 1) AS BIGINT) < 8 THEN 1 ELSE -1 END) AS v FROM w GROUP BY 1, 2)
+ SELECT CAST(doc_id AS VARCHAR) AS chunk_id, CAST(place AS INTEGER) AS place, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 4) AS value FROM p WHERE v <> 0"""
 )
 def embed_chunks(spark, sf_dir):
-    chunks = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("chunk_id"), F.col("text").alias("content"))
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"))
     v = I.embed(chunks).select("chunk_id", F.posexplode("vector").alias("place", "value"))
     return v.where("value <> 0").withColumn("value", F.round(F.col("value").cast("double"), 4))
 
 
 def _embedded_chunks(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    chunks = C.chunk_documents(inputs.markdown(spark, sf_dir))
-    every = chunks.select("chunk_id", F.array(F.lit(0.5)).cast("array<float>").alias("vector"), F.col("chunk_index").alias("seq"))
-    return chunks, every.where("seq % 2 = 0")
+    """Chunks, made once, and a vector for each."""
+    chunks = written(C.chunk_documents(inputs.markdown(spark, sf_dir)))
+    index = F.col("chunk_index")
+    return chunks, chunks.select("chunk_id", F.array(index + 0.5, F.length("content") / 2).cast("array<float>").alias("vector"), index.alias("seq"))
+
 
+CHUNK_ID = ID_SQL.format(stem="'conversation ' || conv_id", i="chunk_index", src="'conversation ' || conv_id || '.md'", c="content")
 
-@query(f"WITH RECURSIVE {CHUNKS_SQL} SELECT {ID_SQL.format(stem="'conversation ' || conv_id", i="chunk_index", src="'conversation ' || conv_id || '.md'", c="content")} AS chunk_id, p AS page_start, q AS page_end, '{{\"char_count\": ' || length(content) || ', \"token_estimate\": ' || length(content) // 4 || '}}' AS metadata_json FROM chunks WHERE chunk_index % 2 = 0")
+
+@query(f"WITH RECURSIVE {CHUNKS_SQL} SELECT {CHUNK_ID} AS chunk_id, p AS page_start, q AS page_end, md5(content) AS content, '{{\"char_count\": ' || length(content) || ', \"token_estimate\": ' || length(content) // 4 || '}}' AS metadata_json, chunk_index + 0.5 AS v0, length(content) / 2 AS v1 FROM chunks")
 def index_document(spark, sf_dir):
-    return I.index_documents(*_embedded_chunks(spark, sf_dir)).select("chunk_id", "page_start", "page_end", "metadata_json")
+    rows = I.index_documents(*_embedded_chunks(spark, sf_dir))
+    at = lambda k: F.get("content_vector", F.lit(k)).cast("double").alias(f"v{k}")
+    return rows.select("chunk_id", "page_start", "page_end", F.md5(F.col("content").cast("binary")).alias("content"), "metadata_json", at(0), at(1))
 
 
-@query(f"WITH RECURSIVE {CHUNKS_SQL}, ids AS (SELECT {ID_SQL.format(stem="'conversation ' || conv_id", i="chunk_index", src="'conversation ' || conv_id || '.md'", c="content")} AS chunk_id, chunk_index FROM chunks WHERE conv_id % 2 = 0) SELECT chunk_id, chunk_index % 2 = 0 AS found FROM ids UNION ALL SELECT 'x' || item_id, false FROM benchmark")
+@query(f"WITH RECURSIVE {CHUNKS_SQL}, ids AS (SELECT {CHUNK_ID} AS chunk_id, chunk_index FROM chunks WHERE conv_id % 2 = 0) SELECT chunk_id, chunk_index % 2 = 0 AS found FROM ids UNION ALL SELECT 'x' || item_id, false FROM benchmark")
 def reindex_subset(spark, sf_dir):
+    """Ids of half the conversations' chunks, every second of which has a vector, and ids that no chunk has."""
     chunks, vectors = _embedded_chunks(spark, sf_dir)
     ids = chunks.where("cast(regexp_extract(source, '([0-9]+)', 1) as long) % 2 = 0").select("chunk_id").union(table(spark, sf_dir, "benchmark").select(F.concat(F.lit("x"), F.col("item_id").cast("string"))))
-    rows, missing = I.reindex(ids, chunks, vectors)
+    rows, missing = I.reindex(ids, chunks, vectors.where("seq % 2 = 0"))
     return rows.select("chunk_id", F.lit(True).alias("found")).union(missing.select("chunk_id", F.lit(False)))
 
 
+@query(f"WITH RECURSIVE {CHUNKS_SQL} SELECT {CHUNK_ID} AS chunk_id, chunk_index % 3 <> 0 AS embedded_now, CASE WHEN chunk_index % 3 = 0 THEN chunk_index + 0.5 ELSE -1 END AS v0 FROM chunks WHERE chunk_index % 5 <> 0")
+def run_pipeline(spark, sf_dir):
+    """Of all chunks a fifth is uploaded already and a third has a vector: what is embedded, indexed and marked now."""
+    chunks, vectors = _embedded_chunks(spark, sf_dir)
+    uploads = chunks.where("chunk_index % 5 = 0").select("chunk_id", F.lit(True).alias("uploaded"))
+    made, rows, marks = I.run_pipeline(chunks, vectors.where("seq % 3 = 0"), uploads)
+    rows = rows.join(made.select("chunk_id", F.lit(True).alias("now")), "chunk_id", "left").join(marks, "chunk_id").where("uploaded")
+    return rows.select("chunk_id", F.coalesce("now", F.lit(False)).alias("embedded_now"), F.when(F.col("now"), -1.0).otherwise(F.get("content_vector", F.lit(0)).cast("double")).alias("v0"))
+
+
 # Retrieval
 
 INDEX = SQL["index"]
@@ -475,7 +580,7 @@ def bm25_sql(source: str, key: str = "chunk_id") -> str:
 
 def cosine_sql(source: str) -> str:
     q = "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)"
-    return f"near AS (SELECT chunk_id, round(list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))), 6) AS score FROM (SELECT chunk_id, CAST(content_vector AS DOUBLE[]) AS v, {q} AS q FROM ({source})))"
+    return f"near AS (SELECT chunk_id, round(list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))), 6) AS score FROM (SELECT chunk_id, CAST(content_vector AS DOUBLE[]) AS v, {q} AS q FROM ({source}) WHERE content_vector IS NOT NULL))"
 
 
 def top(name: str, k: int) -> str:
@@ -504,19 +609,27 @@ def bm25_topk(spark, sf_dir):
     return R.bm25_topk(inputs.index(spark, sf_dir), QUESTION, 30, text=R.searchable())
 
 
-@query(f"WITH {hybrid_sql(INDEX, 15)} SELECT chunk_id, score AS _score, rank AS _rank FROM hits")
+SHOWN = "chunk_id, hits.score AS _score, hits.rank AS _rank, i.source, source_pdf_name, chunk_index, page_start, page_end, topic, subtopic, section_title, section, md5(content) AS content, content_type"
+
+
+def _shown(hits: DataFrame) -> DataFrame:
+    names = [c.strip() for c in SHOWN.split("i.source, ")[1].split(",") if " AS " not in c]
+    return hits.select("chunk_id", "_score", "_rank", "source", *names, F.md5(F.col("content").cast("binary")).alias("content"))
+
+
+@query(f"WITH {hybrid_sql(INDEX, 15)} SELECT {SHOWN} FROM hits JOIN ({INDEX}) i USING (chunk_id)")
 def hybrid_rrf(spark, sf_dir):
-    return R.hybrid_search(inputs.index(spark, sf_dir), QUESTION, _question(spark, sf_dir)).select("chunk_id", "_score", "_rank")
+    return _shown(R.hybrid_search(inputs.index(spark, sf_dir), QUESTION, _question(spark, sf_dir)))
 
 
 KEPT = f"SELECT * FROM ({INDEX}) WHERE content_type = 'text' AND source_pdf_name = (SELECT source || '.pdf' FROM documents WHERE doc_id = 1)"
 
 
-@query(f"WITH {hybrid_sql(KEPT, 10)} SELECT chunk_id, score AS _score, rank AS _rank FROM hits")
+@query(f"WITH {hybrid_sql(KEPT, 10)} SELECT {SHOWN} FROM hits JOIN ({INDEX}) i USING (chunk_id)")
 def filtered_search(spark, sf_dir):
     source = table(spark, sf_dir, "documents").where("doc_id = 1").first().source
     hits = R.hybrid_search(inputs.index(spark, sf_dir), QUESTION, _question(spark, sf_dir), 10, " TEXT ", f"{source}.pdf")
-    return hits.select("chunk_id", "_score", "_rank")
+    return _shown(hits)
 
 
 SCORED = f"scored AS (SELECT hits.*, i.*, len(list_intersect(regexp_extract_all(lower(substr(content, 1, 400)), '[\\p{{L}}\\p{{N}}]+'), {TERMS})) / 9.0 AS s FROM hits JOIN ({INDEX}) i USING (chunk_id))"
@@ -566,10 +679,31 @@ def refine_query(spark, sf_dir):
     return _history(spark, sf_dir).select("conv_id", R.recent_conversation(F.col("history")).alias("recent"), R.refined(reply, F.lit("the question")).alias("refined"))
 
 
-@query(f"SELECT conv_id, CAST(count(*) + 2 AS INTEGER) AS n, 'system > ' || string_agg(role, ' > ' ORDER BY turn) || ' > user' AS roles FROM ({HISTORY}) WHERE back <= 6 GROUP BY conv_id")
+@query(
+    f"""SELECT conv_id, CAST(count(*) + 2 AS INTEGER) AS n, md5('system: be exact' || chr(10) || string_agg(role || ': ' || text, chr(10) ORDER BY turn) || chr(10) ||
+ 'user: Use the following source chunks to answer the question.' || chr(10) || chr(10) || '=== SOURCE CHUNKS ===' || chr(10) || 'context ' || conv_id || chr(10) || chr(10) || '=== QUESTION ===' || chr(10) || 'q') AS contents FROM ({HISTORY}) WHERE back <= 6 GROUP BY conv_id"""
+)
 def answer_messages(spark, sf_dir):
-    m = _history(spark, sf_dir).select("conv_id", R.answer_messages("be exact", F.col("history"), F.lit("context"), F.lit("q")).alias("m"))
-    return m.select("conv_id", F.size("m").alias("n"), F.array_join(F.transform("m", lambda x: x["role"]), " > ").alias("roles"))
+    context = F.concat(F.lit("context "), F.col("conv_id").cast("string"))
+    m = _history(spark, sf_dir).select("conv_id", R.answer_messages("be exact", F.col("history"), context, F.lit("q")).alias("m"))
+    every = F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit(": "), x["content"])), "\n")
+    return m.select("conv_id", F.size("m").alias("n"), F.md5(every.cast("binary")).alias("contents"))
+
+
+NULLS = f"SELECT * REPLACE (CASE WHEN chunk_index % 3 = 0 THEN NULL ELSE section END AS section, CASE WHEN chunk_index % 5 = 0 THEN NULL ELSE content_type END AS content_type, CASE WHEN chunk_index % 7 = 0 THEN NULL ELSE content END AS content) FROM ({INDEX})"
+
+
+@query(
+    f"""SELECT topic, string_agg('[SOURCE ' || n || '] [' || upper(coalesce(content_type, 'text')) || '] ' || coalesce(section, section_title, '') || CASE WHEN page_start = 0 THEN '' WHEN page_start = page_end THEN '  (Page ' || page_start || ')' ELSE '  (Pages ' || page_start || '–' || page_end || ')' END || chr(10) || coalesce(content, '') || chr(10), chr(10) || '---' || chr(10) ORDER BY n) AS context
+ FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY CASE WHEN strpos(lower(source_pdf_name), 'esco doc') > 0 THEN 0 ELSE 1 END, chunk_index) AS n FROM ({NULLS}) WHERE topic = (SELECT min(source) FROM documents)) GROUP BY topic"""
+)
+def context_of_nulls(spark, sf_dir):
+    """All documents of the first source as hits, some without section, type or content: none is lost."""
+    at = F.col("chunk_index")
+    ix = inputs.index(spark, sf_dir)
+    first = table(spark, sf_dir, "documents").agg(F.min("source")).first()[0]
+    hits = ix.where(F.col("topic") == first).withColumns({"section": F.when(at % 3 != 0, F.col("section")), "content_type": F.when(at % 5 != 0, F.col("content_type")), "content": F.when(at % 7 != 0, F.col("content")), "_rank": at})
+    return R.build_context(hits).select(F.lit(first).alias("topic"), "context")
 
 
 PIECES_SQL = f"""{SPLIT_SQL}, numbered AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1 AS INTEGER) AS i, piece FROM pieces),
