@@ -26,6 +26,7 @@ import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +40,12 @@ END = b"\n"
 HEAD = 300_000
 VOCAB = 1024
 HIDDEN = 16
-WINDOW = 32
+WINDOW = 1 << 15
+ROWS_AT_ONCE = 1 << 13
 SAMPLE = 600
 BUFFER = 12 << 20
 PASS = 1 << 18
+STREAMS = 512
 BLOCK = 4096
 NAMES = ("embed", "recur", "out_class", "out_word")
 
@@ -56,10 +59,6 @@ def vocabulary(types: int) -> int:
     return (math.isqrt(max(VOCAB, 2 * math.isqrt(types)) - 1) + 1) ** 2
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 @dataclass
 class Gru:
     """Parameters; ``embed`` already holds the input's share of the three gates."""
@@ -84,51 +83,61 @@ class Gru:
         parts = np.split(flat.astype(np.float32), np.cumsum([getattr(self, k).size for k in NAMES])[:-1])
         return Gru(*(p.reshape(getattr(self, k).shape).copy() for p, k in zip(parts, NAMES)))
 
-    def step(self, prev: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        x, g = self.embed[prev], h @ self.recur
-        zr = _sigmoid(x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
+    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The next state from the input's share of the gates; then the gates: update and reset, candidate, its recurrent part."""
+        g = h @ self.recur
+        zr = x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
         gn = g[:, 2 * HIDDEN :]
-        n = np.tanh(x[:, 2 * HIDDEN :] + r * gn)
-        return n + z * (h - n), z, r, n, gn
+        n = zr[:, HIDDEN:] * gn
+        n += x[:, 2 * HIDDEN :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= zr[:, :HIDDEN]
+        new += n
+        return new, zr, n, gn
 
     def log_probs(self, h: np.ndarray, target: np.ndarray, grad: Gru | None = None) -> np.ndarray:
-        """Natural log-probability of each target after its state; with ``grad``, returns the states' gradient of the summed loss and adds the parameters'."""
+        """Natural log-probability of each target after its state; with ``grad`` (of zeros), returns the states' gradient of the summed loss and sets the parameters'."""
         classes, per = self.out_word.shape[0], self.out_word.shape[2]
-        h1 = np.concatenate([h, np.ones((len(h), 1), np.float32)], 1)
-        kind, word = target // per, target % per
+        kind = target // per
+        order = np.argsort(kind.astype(np.int16) if classes < 1 << 15 else kind, kind="stable")  # each class's states side by side
+        kind, word = kind[order], (target % per)[order]
+        h1 = np.empty((len(h), HIDDEN + 1), np.float32)
+        h1[:, :HIDDEN], h1[:, HIDDEN] = h[order], 1
         at = np.arange(len(h))
-        a = h1 @ self.out_class
-        a -= a.max(1, keepdims=True)
-        pick = a[at, kind]
-        np.exp(a, out=a)
-        total = a.sum(1)
-        lp = pick - np.log(total)
-        if grad is not None:
-            a /= total[:, None]
-            a[at, kind] -= 1
-            grad.out_class += h1.T @ a
-            dh = a @ self.out_class.T
-        order = np.argsort(kind, kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(classes + 1))
-        for c in range(classes):
-            rows = order[edges[c] : edges[c + 1]]
-            if not len(rows):
-                continue
-            hc = h1[rows]
-            b = hc @ self.out_word[c]
-            b -= b.max(1, keepdims=True)
-            k = np.arange(len(rows))
-            pick = b[k, word[rows]]
-            np.exp(b, out=b)
-            total = b.sum(1)
-            lp[rows] += pick - np.log(total)
+        edges = np.searchsorted(kind, np.arange(classes + 1)).tolist()
+        met = [(c, slice(edges[c], edges[c + 1])) for c in range(classes) if edges[c] < edges[c + 1]]
+        a, b = h1 @ self.out_class, np.empty((len(h), per), np.float32)
+        for c, rows in met:
+            np.matmul(h1[rows], self.out_word[c], out=b[rows])
+        lp = 0
+        for x, w, goal in ((a, self.out_class, kind), (b, self.out_word, word)):
+            if np.abs(w).sum(-2).max() > 60:  # else exp cannot overflow
+                x -= x.max(1, keepdims=True)
+            pick = x[at, goal]
+            np.exp(x, out=x)
+            total = x @ np.ones(x.shape[1], np.float32)
+            lp = lp + (pick - np.log(total))
             if grad is not None:
-                b /= total[:, None]
-                b[k, word[rows]] -= 1
-                grad.out_word[c] += hc.T @ b
-                dh[rows] += b @ self.out_word[c].T
-        return lp if grad is None else dh[:, :HIDDEN]
+                x *= (1 / total)[:, None]
+                x[at, goal] -= 1
+        out = np.empty((len(h), HIDDEN) if grad is not None else len(h), np.float32)
+        if grad is None:
+            out[order] = lp
+            return out
+        np.matmul(h1.T, a, out=grad.out_class)
+        dh, more = a @ self.out_class[:HIDDEN].T, np.empty_like(out)
+        back = np.ascontiguousarray(self.out_word[:, :HIDDEN].transpose(0, 2, 1))
+        for c, rows in met:
+            np.matmul(h1[rows].T, b[rows], out=grad.out_word[c])
+            np.matmul(b[rows], back[c], out=more[rows])
+        dh += more
+        out[order] = dh
+        return out
 
     def score(self, docs: list[np.ndarray], first: int) -> np.ndarray:
         """log10 probability of each whole id sequence; ``first``: the id read before a text."""
@@ -138,11 +147,11 @@ class Gru:
         flat = np.concatenate([docs[k] for k in order]).astype(np.int64)
         at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         total, h = np.zeros(len(docs)), np.zeros((len(docs), HIDDEN), np.float32)
-        # windows grow where few long texts are left, so that outputs are computed over enough rows
+        # a window has about as many words whether many texts are left or few, so that outputs are computed over enough rows
         t0 = 0
         while t0 < sizes[0]:
             n0 = int(np.searchsorted(-sizes, -t0, side="left"))
-            t1 = min(int(sizes[0]), t0 + max(WINDOW, min(2048, 8192 // n0)))
+            t1 = min(int(sizes[0]), t0 + max(1, WINDOW // n0))
             states, goals, owners = [], [], []
             n = n0
             for t in range(t0, t1):
@@ -150,11 +159,12 @@ class Gru:
                     n -= 1
                 where = at[:n] + t
                 prev = flat[where - 1] if t else np.full(n, first)
-                h[:n] = self.step(prev, h[:n])[0]
+                h[:n] = self.step(self.embed[prev], h[:n])[0]
                 states.append(h[:n].copy())
                 goals.append(flat[where])
                 owners.append(n)
-            lp = self.log_probs(np.concatenate(states), np.concatenate(goals)).astype(np.float64)
+            state, goal = np.concatenate(states), np.concatenate(goals)
+            lp = np.concatenate([self.log_probs(state[k : k + ROWS_AT_ONCE], goal[k : k + ROWS_AT_ONCE]) for k in range(0, len(goal), ROWS_AT_ONCE)]).astype(np.float64)
             who = np.concatenate([np.arange(n) for n in owners])
             total[:n0] += np.bincount(who, lp, minlength=n0)
             t0 = t1
@@ -180,7 +190,7 @@ class Adam:
     def read(self, docs: list[np.ndarray], first: int, streams: int, steps: int, rate: Callable[[float], float]) -> None:
         """Once over all words of the texts; ``rate`` of the share that is done."""
         gru = self.gru
-        flat = np.concatenate([np.array([first]), *docs]).astype(np.int64)
+        flat = np.concatenate([np.array([first], np.int32), *docs])
         n = len(flat) - 1
         streams = max(1, min(streams, n // steps))
         length = -(-n // streams)
@@ -189,45 +199,59 @@ class Adam:
         prev, goal = flat[:-1][wrap].reshape(streams, length), flat[1:][wrap].reshape(streams, length)
         h = np.zeros((streams, HIDDEN), np.float32)
         for t0 in range(0, length, steps):
-            t1 = min(length, t0 + steps)
-            trace, start = [], h
-            for t in range(t0, t1):
-                new = gru.step(prev[:, t], h)
-                trace.append((h, *new))
-                h = new[0]
+            words = prev[:, t0 : t0 + steps].T
+            n = len(words)
+            x = gru.embed[words]
+            states, gates = np.empty((n + 1, streams, HIDDEN), np.float32), []
+            states[0] = h
+            for t in range(n):
+                states[t + 1], *gate = gru.step(x[t], states[t])
+                gates.append(gate)
+            h = states[n].copy()
+            zr, c, gn = (np.stack(g) for g in zip(*gates))
+            z, r = zr[:, :, :HIDDEN], zr[:, :, HIDDEN:]
             grad = _zeros(gru)
-            states = np.concatenate([x[1] for x in trace])
-            dh_out = gru.log_probs(states, goal[:, t0:t1].T.reshape(-1), grad).reshape(len(trace), streams, HIDDEN)
-            back, inputs = np.zeros_like(start), []
-            for k in range(len(trace) - 1, -1, -1):
-                h0, _, z, r, c, gn = trace[k]
-                back = back + dh_out[k]
-                dn = back * (1 - z) * (1 - c * c)
-                dz = back * (h0 - c) * z * (1 - z)
-                dr = dn * gn * r * (1 - r)
-                inputs.append(np.concatenate([dz, dr, dn], 1))
-                dg = np.concatenate([dz, dr, dn * r], 1)
-                grad.recur += h0.T @ dg
-                back = back * z + dg @ gru.recur.T
-            words = prev[:, t0:t1][:, ::-1].T.reshape(-1)
-            order = np.argsort(words, kind="stable")
-            met, at = np.unique(words[order], return_index=True)
-            grad.embed = np.add.reduceat(np.concatenate(inputs)[order], at, axis=0)
-            self._step(grad, met, 1 / (streams * len(trace)), rate(t0 / length))
+            out = gru.log_probs(states[1:].reshape(-1, HIDDEN), goal[:, t0 : t0 + steps].T.reshape(-1), grad).reshape(n, streams, HIDDEN)
+            # what a state's gradient is multiplied by, at every step, for the gates' gradients
+            by = np.concatenate([(states[:-1] - c) * z * (1 - z), gn * r * (1 - r), (1 - z) * (1 - c * c)], 2)
+            by[:, :, HIDDEN : 2 * HIDDEN] *= by[:, :, 2 * HIDDEN :]
+            back, dx, dg = np.zeros_like(h), np.empty_like(by), np.empty_like(by)
+            for t in range(n - 1, -1, -1):
+                back = back + out[t]
+                np.multiply(by[t].reshape(streams, 3, HIDDEN), back[:, None], out=dx[t].reshape(streams, 3, HIDDEN))
+                dg[t] = dx[t]
+                dg[t, :, 2 * HIDDEN :] *= r[t]
+                back = back * z[t] + dg[t] @ gru.recur.T
+            grad.recur += states[:-1].reshape(-1, HIDDEN).T @ dg.reshape(-1, 3 * HIDDEN)
+            order = np.argsort(words, axis=None, kind="stable")
+            sorted_ = words.reshape(-1)[order]
+            first = np.nonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))[0]
+            met = sorted_[first]
+            grad.embed = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
+            self._step(grad, met, 1 / (streams * n), rate(t0 / length))
 
     def _step(self, grad: Gru, met: np.ndarray, scale: float, rate: float) -> None:
         """``grad.embed`` has only the rows of the words ``met``; the others stay."""
         self.count += 1
         for k in NAMES:
-            at = met if k == "embed" else slice(None)
-            g = getattr(grad, k) * np.float32(scale)
+            g = getattr(grad, k)
+            g *= np.float32(scale)
             np.clip(g, -1, 1, out=g)
-            m, v = self.m[k][at], self.v[k][at]
-            m = m + np.float32(0.1) * (g - m)
-            v = v + np.float32(0.001) * (g * g - v)
-            self.m[k][at], self.v[k][at] = m, v
+            at = met if k == "embed" else slice(None)  # a copy of the rows met, or the whole in place
+            m, v, w = self.m[k][at], self.v[k][at], getattr(self.gru, k)
+            m += np.float32(0.1) * (g - m)
+            np.multiply(g, g, out=g)
+            g -= v
+            g *= np.float32(0.001)
+            v += g
             size = np.float32(rate / (1 - 0.9**self.count))
-            getattr(self.gru, k)[at] -= size * m / (np.sqrt(v * np.float32(1 / (1 - 0.999**self.count))) + np.float32(1e-8))
+            down = np.sqrt(v * np.float32(1 / (1 - 0.999**self.count)))
+            down += np.float32(1e-8)
+            np.divide(m, down, out=down)
+            down *= size
+            if k == "embed":
+                self.m[k][at], self.v[k][at] = m, v
+            w[at] -= down
 
 
 def _zeros(gru: Gru) -> Gru:
@@ -238,7 +262,9 @@ def _zeros(gru: Gru) -> Gru:
 class LmModel:
     gru: Gru
     ids: dict[bytes, int]  # vocabulary; END is id 0, every other word OTHER
-    head: dict[bytes, int]  # counts of the commonest words
+    head: dict[bytes, int]  # places of the commonest words, END among them, in the two arrays
+    head_count: np.ndarray
+    head_id: np.ndarray  # in the vocabulary
     tokens: int
     types: int
     outside: int  # sum of count + 1 over words outside the vocabulary, and one for the unseen
@@ -287,7 +313,9 @@ def train(docs: DataFrame, use: Column, head: int = HEAD, sample: int = SAMPLE)
     ids = {END: 0} | {w: k + 2 for k, w in enumerate(words)}
     n_docs = counts.where(F.col("word") == F.lit(END)).first()
     inside = sum(top[w] + 1 for w in words) + (n_docs["n"] + 1 if n_docs else 0)
-    model = LmModel(Gru.new(vocab=size), ids, top, total[0], total[1], total[0] + total[1] - inside + 1)
+    places = {w: k for k, w in enumerate(top | {END: 0})}
+    head_count = np.array([top.get(w, 0) for w in places], np.int64)
+    model = LmModel(Gru.new(vocab=size), ids, places, head_count, coded(ids, list(places)), total[0], total[1], total[0] + total[1] - inside + 1)
     hashed = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 32))
     below = int(4 * sample / max(1, n_docs["n"] if n_docs else 1) * (1 << 32)) + 1
     picked = rows.where(hashed < below).select("text", hashed.alias("h")).orderBy("h", "text").limit(sample).collect()
@@ -305,7 +333,7 @@ def averaged(rows: DataFrame, gru: Gru, ids: dict[bytes, int], rate: float = 0.0
         adam, held, size, n = Adam(start.filled(start.flat())), [], 0, 0
 
         def learn() -> None:
-            adam.read(held, 0, max(1, min(256, size // 512)), 16, lambda done: rate)
+            adam.read(held, 0, max(1, min(STREAMS, size // 512)), 16, lambda done: rate)
 
         for batch in sliced(batches, ROWS):
             for text in batch.column("text").to_pylist():
@@ -334,8 +362,7 @@ def averaged(rows: DataFrame, gru: Gru, ids: dict[bytes, int], rate: float = 0.0
 
 
 def coded(ids: dict[bytes, int], words: list[bytes]) -> np.ndarray:
-    get, other = ids.get, LmModel.OTHER
-    return np.array([get(w, other) for w in words], np.int32)
+    return np.fromiter(map(ids.get, words, repeat(LmModel.OTHER)), np.int32, len(words))
 
 
 def score(docs: DataFrame, model: LmModel, counts: DataFrame, extra: list[str] | None = None) -> DataFrame:
@@ -345,14 +372,15 @@ def score(docs: DataFrame, model: LmModel, counts: DataFrame, extra: list[str] |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        head, vocabulary_ids = m.head, m.ids
+        place = m.head.get
+        head_count, head_id = np.append(m.head_count, 0), np.append(m.head_id, LmModel.OTHER)  # the last: any other word
         for t in merged_batches(batches, BUFFER):
             seqs, n_tokens, n_known, logs, other_logs, n_other = [], [], [], [], [], []
             rest_words, rest_counts, rest_at = [], [], [0]
             for text in t.column("text").to_pylist():
                 words = tokens_of(text)
-                ids = coded(vocabulary_ids, words)
-                found = np.array([head.get(w, -1) for w in words], np.int64)
+                at = np.fromiter(map(place, words, repeat(-1)), np.int64, len(words))
+                ids, found = head_id[at], head_count[at]
                 known = found > 0
                 lg = np.log10(found[known] + 1.0)
                 seqs.append(ids)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import lm, queries
+from tessella.llm.common import table
 
 
 def tokens(text):
@@ -30,12 +31,42 @@ def test_base_scores_equal_brute_force(spark, sf, texts):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)  # the network beats unigrams on unseen texts
 
 
+def test_scores_equal_a_word_by_word_computation(spark, sf, texts):
+    docs = table(spark, sf, "documents")  # dealt as in the query: every partition trains on its own texts
+    model, _ = lm.train(docs.select("doc_id", "text"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2)
+    counts = Counter(w for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in lm.tokens_of(t))
+    got = {r.doc_id: r.score for r in queries.op9_lm(spark, sf).collect()}
+    g = model.gru
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    n, per = lm.HIDDEN, g.out_word.shape[2]
+    some = [i for i, t in texts.items() if len(t or "") < 4000]
+    assert len(some) > 100
+    for i in some:
+        h, prev, total = np.zeros(n), 0, 0.0
+        for w in lm.tokens_of(texts[i]):
+            x, r = g.embed[prev].astype(float), h @ g.recur
+            z, reset = sig(x[:n] + r[:n]), sig(x[n : 2 * n] + r[n : 2 * n])
+            cand = np.tanh(x[2 * n :] + reset * r[2 * n :])
+            h = (1 - z) * cand + z * h
+            k = model.ids.get(w, 1)
+            a = np.append(h, 1) @ g.out_class
+            b = np.append(h, 1) @ g.out_word[k // per]
+            total += a[k // per] - np.log(np.exp(a).sum()) + b[k % per] - np.log(np.exp(b).sum())
+            if k == 1:
+                total += np.log((counts[w] + 1) / model.outside)
+            prev = k
+        assert got[i] == pytest.approx(total / np.log(10), rel=1e-3)
+
+
 def test_tokens_beyond_the_head_are_joined(spark, docs):
     whole, counts = lm.train(docs, F.lit(True))
     few, counts2 = lm.train(docs, F.lit(True), head=3000)
     assert len(few.head) <= 3000 < len(whole.head)
     few.ids, few.gru, few.outside = whole.ids, whole.gru, whole.outside
-    few.head |= {w: whole.head[w] for w in whole.ids}
+    more = [w for w in whole.ids if w not in few.head]
+    few.head |= {w: len(few.head) + k for k, w in enumerate(more)}
+    few.head_count = np.append(few.head_count, [whole.head_count[whole.head[w]] for w in more])
+    few.head_id = lm.coded(few.ids, list(few.head))
     a = {r.doc_id: r for r in lm.score(docs, whole, counts).collect()}
     for r in lm.score(docs, few, counts2).collect():
         assert (r.n_known, r.n_tokens) == (a[r.doc_id].n_known, a[r.doc_id].n_tokens)
@@ -57,7 +88,7 @@ def test_state_is_carried_over_windows():
     for d, s in zip(docs, got):
         h, prev, total = np.zeros((1, lm.HIDDEN), np.float32), 0, 0.0
         for t in d:
-            h = gru.step(np.array([prev]), h)[0]
+            h = gru.step(gru.embed[[prev]], h)[0]
             total += float(gru.log_probs(h, np.array([t]))[0])
             prev = t
         assert s == pytest.approx(total / math.log(10), rel=1e-5)
