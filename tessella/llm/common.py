@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.sources.scratch import spread
+from tessella.sources.scratch import base_folder, spread
 
 #: rows that a Python worker turns into objects at once
 ROWS = 2000
@@ -73,15 +73,9 @@ def merged_batches(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterato
         yield pa.Table.from_batches(held)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a folder below the warehouse."""
-    sc = spark.sparkContext
-    return sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-
-
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cuts lineage with a reliable checkpoint in the cluster's shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
+        sc.setCheckpointDir(base_folder(df.sparkSession))
     return df.checkpoint(eager)
