@@ -1,7 +1,9 @@
 """Column expressions for text: whitespace, chunk attributes, document metadata.
 
 Whitespace is the 29-character Unicode set, not Java's; patterns carry ``(?d)``
-so that only a newline ends a line, and ``(?iu)`` where case is ignored.
+so that only a newline ends a line, and ``(?iu)`` where case is ignored. In
+metadata patterns and list marks ``\\d`` and ``\\s`` are ASCII: digits of other
+scripts are no page count, version or list number here.
 """
 
 from __future__ import annotations
@@ -75,6 +77,7 @@ def stem(name: Column) -> Column:
     return F.regexp_replace(name, r"(?<=[^.])\.[^.]+\z", "")
 
 
+# Fixed values, down to session_file: signs that ids and names keep, lengths and patterns of ids and metadata.
 def chunk_id(source: Column, index: Column, content: Column) -> Column:
     """Stem, four-digit index and twelve hex digits of source, index and the first 80 characters."""
     digest = F.substring(F.md5(F.concat(source, F.lit(":"), index.cast("string"), F.lit(":"), F.substring(content, 1, 80)).cast("binary")), 1, 12)

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 
+#: documents whose chunks are Python objects at once
+STEP = 500
 # Chunks are only right with exactly these sizes, labels and patterns.
 MAX_CHARS = 2400
 OVERLAP = 320
@@ -34,6 +36,7 @@ PROCESS_KEYS = (
     "COMMENTS",
     "COMMENT",
 )
+FIGURE_LABELS = ("[Figure Caption]", "[Figure Description]", "[Figure Content]")
 _SYMBOLS = re.compile("[☒✓□]")
 _ANY_CASE_ALL = re.IGNORECASE | re.DOTALL
 _ROW = re.compile("<tr[^>]*>(.*?)</tr>", _ANY_CASE_ALL)
@@ -144,8 +147,8 @@ def figure_text(html: str) -> str:
     for drop in (_COMMENT, _TAG, _SYMBOLS):
         inside = drop.sub("", inside)
     inside = _BLANKS.sub(" ", inside).strip()
-    labelled = (("Caption", only(_CAPTION)), ("Description", only(_DESCRIBED)), ("Content", inside if len(inside) > 20 else ""))
-    return "\n".join(f"[Figure {k}] {v}" for k, v in labelled if v)
+    parts = (only(_CAPTION), only(_DESCRIBED), inside if len(inside) > 20 else "")
+    return "\n".join(f"{k} {v}" for k, v in zip(FIGURE_LABELS, parts) if v)
 
 
 @dataclass
@@ -263,7 +266,7 @@ def _flat(docs: DataFrame, key: list[str], text: str, schema: str, rows) -> Data
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, STEP) for b in batches for k in range(0, b.num_rows, STEP)):  # few documents' objects at a time
             at, cols = [], [[] for _ in names]
             for k, t in enumerate(batch.column(text).to_pylist()):
                 for row in rows(t or ""):

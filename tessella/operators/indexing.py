@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 DIM = 64
 EMBED_BATCH = 4
 ATTEMPTS = 6
-#: chunk columns that an index row keeps, in the index's order
+# The index's schema, chunk columns in its order.
 INDEX_FIELDS = (
     "chunk_id", "source", "source_pdf_url", "source_pdf_name", "chunk_index", "page_start", "page_end", "heading_level", "topic", "subtopic",
     "section_title", "section", "region", "energy_utility_name", "content", "content_type", "has_table", "has_figure", "is_table", "is_figure",

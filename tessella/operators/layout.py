@@ -6,8 +6,9 @@ Offsets count code points of ``content``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +20,11 @@ LAYOUT = (
     f"tables array<struct<boundingRegions:array<struct<pageNumber:int>>>>, paragraphs array<struct<content:string,spans:array<{SPAN}>>>"
 )
 BUCKET = 4096
+# What counts as a table, a row, a cell, and as noise of pages inside a table.
 ROW = r"(?isu)<tr[^>]*>(.*?)</tr>"
 CELL = r"(?isu)<t[dh][^>]*>(.*?)</t[dh]>"
 TABLE = r"(?isu)<table[^>]*>.*?</table>"
+NOISE = ((r'<!--\s*PageNumber="[^"]+"\s*-->', ""), (r"<!--\s*Page\s*\d+\s*-->", ""), (r"\n\s*---\s*\n", "\n"))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -50,10 +53,17 @@ def page_ranges(layout: DataFrame) -> DataFrame:
         return F.concat(acc, F.array(let(offsets(p), own)))
 
     ranges = F.aggregate("pages", F.array().cast("array<struct<start:int,stop:int>>"), add)
-    flat = layout.select("doc_id", "content", ranges.alias("r")).select("doc_id", "content", "r", F.posexplode("r").alias("n", "page"))
-    end = F.coalesce(F.try_element_at("r", F.col("n") + 2)["start"], F.length("content"))
-    flat = flat.select("doc_id", (F.col("n") + 1).alias("page_number"), F.col("page.start").alias("page_start"), end.alias("page_end"), F.col("content").alias("whole"))
-    return flat.select("doc_id", "page_number", "page_start", "page_end", F.substring("whole", F.col("page_start") + 1, F.col("page_end") - F.col("page_start")).alias("content"))
+
+    def cut(r: Column) -> Column:
+        """Each page with its own slice, so that the whole content is on no row of a page."""
+
+        def page(p: Column, n: Column) -> Column:
+            end = F.coalesce(F.get(r, n + 1)["start"], F.length("content"))
+            return let(end, lambda e: F.struct((n + 1).alias("page_number"), p["start"].alias("page_start"), e.alias("page_end"), F.substring("content", p["start"] + 1, e - p["start"]).alias("content")))
+
+        return F.transform(r, page)
+
+    return layout.select("doc_id", F.explode(let(ranges, cut)).alias("p")).select("doc_id", "p.*")
 
 
 def tables_on_page(layout: DataFrame) -> DataFrame:
@@ -122,7 +132,7 @@ def convert_tables(content: Column) -> Column:
     """Every HTML table of a text as a pipe table; tables without cells stay."""
 
     def converted(t: Column) -> Column:
-        for noise, instead in ((r'<!--\s*PageNumber="[^"]+"\s*-->', ""), (r"<!--\s*Page\s*\d+\s*-->", ""), (r"\n\s*---\s*\n", "\n")):
+        for noise, instead in NOISE:
             t = F.regexp_replace(t, noise, instead)
         return t
 
@@ -131,6 +141,29 @@ def convert_tables(content: Column) -> Column:
 
 
 def reprocess(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with converted tables and whether a row changed."""
+    """``docs`` with converted tables, whether a row changed, and how many tables it had (``found``)."""
     old = F.col(text)
-    return docs.withColumn("updated", ~convert_tables(old).eqNullSafe(old)).withColumn(text, convert_tables(old))
+    found = F.size(F.regexp_extract_all(F.coalesce(old, F.lit("")), F.lit(TABLE), F.lit(0)))
+    return docs.withColumn("found", found).withColumn("updated", ~convert_tables(old).eqNullSafe(old)).withColumn(text, convert_tables(old))
+
+
+def reprocess_counts(done: DataFrame) -> DataFrame:
+    """One row: files, files changed, tables found."""
+    return done.agg(F.count(F.lit(1)).alias("files"), F.count_if("updated").alias("changed"), F.coalesce(F.sum("found"), F.lit(0)).alias("tables"))
+
+
+def analyze(files: DataFrame, analyzer: Callable[[bytes], str], key: str = "path") -> DataFrame:
+    """Layout rows (``doc_id`` is the file's key) of files (key, content): ``analyzer`` is the layout service, bytes to its JSON.
+
+    It is called in the executors, once for each file; a reply that is no JSON gives null fields.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):  # a file at a time: its bytes may be many
+                one = batch.slice(k, 1)
+                yield pa.RecordBatch.from_arrays([one.column(0).cast(pa.string()), pa.array([analyzer(one.column(1)[0].as_py() or b"")], pa.string())], ["doc_id", "json"])
+
+    fields = LAYOUT.replace("doc_id long, ", "")
+    made = files.select(key, "content").mapInArrow(run, "doc_id string, json string")
+    return made.select("doc_id", F.from_json("json", fields).alias("d")).select("doc_id", "d.*")

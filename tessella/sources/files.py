@@ -95,6 +95,58 @@ def listing(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     return files.select(F.element_at(F.split("path", F.lit(f"\\Q{root}\\E"), 2), -1).alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
 
 
+def read_json(spark: SparkSession, folder: str, glob: str = "*.json") -> DataFrame:
+    """path, raw of JSON files; ``raw`` is null where a file holds no JSON."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder, wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.when(F.try_parse_json("value").isNotNull(), F.col("value")).alias("raw"))
+
+
+def read_vector_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(seq, line) of a JSON-lines vector cache; ``seq`` orders the lines as they are in the file, however it is split."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+    return lines.select(F.struct("file", "at", "n").alias("seq"), F.col("value").alias("line"))
+
+
+def read_database(spark: SparkSession, url: str, table: str, **options) -> DataFrame:
+    """A table, or a query in brackets with a name, over JDBC; ``options`` as Spark's (driver, partitionColumn, ...)."""
+    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+
+
+def write_database(df: DataFrame, url: str, table: str, mode: str = "append", **options) -> None:
+    df.write.format("jdbc").options(url=url, dbtable=table, **options).mode(mode).save()
+
+
+def by_prefix(listing: DataFrame, prefix: str) -> DataFrame:
+    return listing.where(F.startswith("path", F.lit(prefix)))
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _file_system(spark, path)
+    return fs.exists(at)
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Removes a file or a folder with all it holds (a cache that is cleared); false if there is none."""
+    fs, at = _file_system(spark, path)
+    return fs.delete(at, True)
+
+
+def rename_to_processed(spark: SparkSession, root: str, client: str, file: str) -> str | None:
+    """``client/file`` becomes ``client/read-file``; its new path, or none if the file is not there."""
+    fs, old = _file_system(spark, f"{root}/{client}/{file}")
+    new = f"{client}/{PROCESSED}{file}"
+    if not fs.exists(old):
+        return None
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{new}")
+    fs.delete(target, False)
+    return new if fs.rename(old, target) else None
+
+
 def read_chunk_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Chunk rows from files that each hold one JSON array."""
     return spark.read.schema(schema).option("multiLine", True).json(path)

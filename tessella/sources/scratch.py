@@ -7,15 +7,30 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def base_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where that is unset, a folder below the warehouse of a session on one machine (tests, a laptop)."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
+    return spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, or below the warehouse where that is unset (tests, a laptop)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-    return f"{base}/{uuid.uuid4().hex}"
+    """A new folder below ``base_folder``, removed when the driver ends."""
+    folder = f"{base_folder(spark)}/{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(at)
+    store.deleteOnExit(at)
+    return folder
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table: computed once, read by column, safe from lost executors."""
-    path = shared_folder(df.sparkSession)
+    path = f"{shared_folder(df.sparkSession)}/table"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

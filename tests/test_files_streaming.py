@@ -3,6 +3,8 @@ import json
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
+from tessella.operators import indexing as I
+from tessella.operators import retrieval as R
 from tessella.operators import sessions as S
 from tessella.sources import files
 from tessella.streaming import ingest
@@ -70,6 +72,85 @@ def test_ingest_stream_is_incremental(spark, tmp_path):
     assert sorted(r.content for r in ingest.latest_chunks(spark, out).collect()) == ["x", "z"]
 
 
+def test_a_document_that_loses_its_text_loses_its_chunks(spark, tmp_path):
+    out, docs = str(tmp_path / "out"), "source string, utility string, text string"
+    for batch, rows in enumerate([[("a.md", "U", "# A\nx"), ("b.md", "U", "y")], [("a.md", "U", "")]]):
+        ingest._save(spark, spark.createDataFrame(rows, docs), out, batch)
+    assert [r.content for r in ingest.latest_chunks(spark, out).collect()] == ["y"]
+
+
+def test_folder_is_chunked_once_and_indexed(spark, tmp_path):
+    folder, store = tmp_path / "in" / "U", str(tmp_path / "store")
+    folder.mkdir(parents=True)
+    (folder / "a.md").write_text("# A\nred apple\n")
+    (folder / "b.md").write_text("blue sky")
+    job = lambda **o: ingest.index_folder(spark, str(tmp_path / "in"), store, **o)
+    assert job() == {"embedded": 2, "indexed": 2, "left": 0}
+    assert job() == {"embedded": 0, "indexed": 0, "left": 0}
+    (folder / "b.md").write_text("green grass")
+    (folder / "c.md").write_text("")
+    assert job()["indexed"] == 1
+    chunks = ingest.chunk_folder(spark, str(tmp_path / "in"), f"{store}/cache")
+    assert sorted(r.content for r in chunks.collect()) == ["green grass", "red apple"]
+    ix = ingest.read_index(spark, store)
+    assert ix.count() == 3 and R.chat_default(ix, "apple", I.hash_embedding).hits.count() == 3
+    assert job(recreate=True) == {"embedded": 0, "indexed": 2, "left": 0} and ingest.read_index(spark, store).count() == 2
+    assert job(recreate=True, clear_vectors=True) == {"embedded": 2, "indexed": 2, "left": 0}
+    (folder / "a.md").unlink()
+    assert [r.content for r in ingest.chunk_folder(spark, str(tmp_path / "in"), f"{store}/cache", force=True).collect()] == ["green grass"]
+    assert ingest.clear_cache(spark, f"{store}/cache") and not files.exists(spark, f"{store}/cache") and not ingest.clear_cache(spark, f"{store}/cache")
+
+
+def test_clients_are_ingested_to_an_index(spark, tmp_path):
+    folder, store = tmp_path / "in" / "U", str(tmp_path / "store")
+    folder.mkdir(parents=True)
+    (folder / "a.md").write_text("# A\nx\n")
+    run = lambda: ingest.ingest_clients(ingest.markdown_stream(spark, str(tmp_path / "in")), store, str(tmp_path / "ck"))
+    run()
+    run()
+    (folder / "b.md").write_text("z")
+    run()
+    assert sorted(r.content for r in ingest.read_index(spark, store).collect()) == ["x", "z"]
+    assert {r.source: r.n for r in ingest.latest_files(spark, f"{store}/cache").collect()} == {"a.md": 1, "b.md": 1}
+
+
+def test_nightly_job_counts_and_deletes(spark, tmp_path):
+    folder = tmp_path / "SessionData"
+    assert ingest.nightly(spark, str(folder), str(tmp_path / "out"), "now") == {"rows_inserted": 0, "blobs_deleted": 0}
+    folder.mkdir()
+    for k in range(3):
+        (folder / f"s{k}.json").write_text(json.dumps({"session_id": f"s{k}", "messages": [{"msgId": str(m)} for m in range(k)]}))
+    (folder / "bad.json").write_text("{broken")
+    assert ingest.nightly(spark, str(folder), str(tmp_path / "out"), "now") == {"rows_inserted": 3, "blobs_deleted": 3}
+    assert [x.name for x in folder.iterdir() if not x.name.startswith(".")] == ["bad.json"]
+
+
+def test_files_rename_json_lines_and_databases(spark, tmp_path):
+    root = tmp_path / "up"
+    (root / "c").mkdir(parents=True)
+    (root / "c" / "a.pdf").write_bytes(b"new")
+    (root / "c" / "read-a.pdf").write_bytes(b"old")
+    assert files.rename_to_processed(spark, str(root), "c", "a.pdf") == "c/read-a.pdf" and files.rename_to_processed(spark, str(root), "c", "a.pdf") is None
+    assert (root / "c" / "read-a.pdf").read_bytes() == b"new" and not (root / "c" / "a.pdf").exists()
+    (root / "x.json").write_text('{"a": 1}')
+    (root / "y.json").write_text("{a")
+    assert sorted((r.path[-6:], r.raw) for r in files.read_json(spark, str(root)).collect()) == [("x.json", '{"a": 1}'), ("y.json", None)]
+    assert [r.path for r in files.by_prefix(listing(spark, "c/a", "d/a"), "c/").collect()] == ["c/a"]
+    lines = [json.dumps({"chunk_id": f"c{k % 7}", "vector": [k, 0.5]}) for k in range(3000)]
+    (root / "v.jsonl").write_text("\n".join(lines[:2500] + ["", "{cut"] + lines[2500:]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        got = I.latest_vectors(I.vector_lines(files.read_vector_lines(spark, str(root / "v.jsonl")))).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r.chunk_id: r.vector[0] for r in got} == {f"c{k % 7}": float(k) for k in range(2493, 2500)}
+    url, rows = f"jdbc:derby:{tmp_path}/db;create=true", spark.createDataFrame([("q1", "a", "2024-01-01 00:00:00"), ("q1", "b", "2024-01-02 00:00:00")], "question string, answer string, created_at string")
+    files.write_database(rows, url, "sessions", createTableColumnTypes="question VARCHAR(100), answer VARCHAR(100), created_at VARCHAR(40)")
+    files.write_database(rows.limit(1), url, "sessions")
+    back = files.read_database(spark, url, "sessions")
+    assert back.count() == 3 and [(r.answer, r.cnt) for r in S.faq(back).collect()] == [("b", 3)]
+
+
 def test_backup_stream_equals_batch(spark, tmp_path):
     raw = json.dumps({"session_id": "s", "messages": [{"msgId": "1", "question": "q", "answer": "a"}]})
     (tmp_path / "in").mkdir()

@@ -1,3 +1,5 @@
+import json
+
 from pyspark.sql import functions as F
 
 from tessella.operators import layout as L
@@ -50,3 +52,17 @@ def test_overlaps(spark):
     assert {(r.page_number, r.table_no) for r in L.tables_on_page(df).collect()} == {(1, 0), (2, 0), (2, 2)}
     assert L.tables_on_page(df).count() == 3
     assert tuple(L.totals(df).first()) == (1, 2, 3, 5)
+
+
+def test_layout_service_is_a_hook(spark):
+    reply = lambda data: json.dumps({"content": data.decode(), "pages": [{"words": [{"span": {"offset": 0, "length": len(data)}}], "lines": []}], "tables": [], "paragraphs": []}) if data != b"bad" else "{"
+    rows = spark.createDataFrame([("a.pdf", b"hello"), ("b.pdf", b"bad")], "path string, content binary")
+    got = L.analyze(rows, reply)
+    assert sorted((r.doc_id, r.page_number, r.content) for r in L.page_ranges(got).collect()) == [("a.pdf", 1, "hello")]
+    assert {r.doc_id: r.content for r in got.collect()} == {"a.pdf": "hello", "b.pdf": None}
+
+
+def test_reprocessed_tables_are_counted(spark):
+    t = "<table><tr><td>a</td></tr></table>"
+    rows = spark.createDataFrame([(t + "x" + t,), ("none",), (None,), ("<table></table>",)], "text string")
+    assert tuple(L.reprocess_counts(L.reprocess(rows)).first()) == (4, 1, 3)
