@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import normalize_filter, strip
 from tessella.operators.indexing import INDEX_FIELDS
+from tessella.operators.layout import let
 from tessella.sources.scratch import written
 
 K1, B = 1.2, 0.75
@@ -88,6 +89,48 @@ def bm25_topk(docs: DataFrame, query: str, k: int, key: str = "chunk_id", text:
     return ranked(best, key)
 
 
+BUCKETS = 64
+
+
+def write_postings(docs: DataFrame, path: str, key: str = "chunk_id", text: Column | str = "content") -> None:
+    """A stored text index: (term, key, tf, dl) by buckets of terms, sorted by term, and one row of statistics.
+
+    A later question reads the row groups of its own terms alone, not the texts.
+    """
+    one = F.col(text) if isinstance(text, str) else text
+    held = written(docs.select(F.col(key).alias("key"), tokens(F.coalesce(one, F.lit(""))).alias("t")))
+    dl = F.size("t")
+    held.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(dl), F.lit(0.0)).alias("avgdl")).write.mode("overwrite").parquet(f"{path}/stats")
+
+    # a row's own counts need no shuffle: its terms are sorted, and where one begins is the end of the one before
+    def begins(s: Column) -> Column:
+        return F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), F.struct(x.alias("term"), i.alias("at")))), lambda x: x.isNotNull())
+
+    def counted(s: Column, at: Column) -> Column:
+        return F.transform(at, lambda x, j: F.struct(x["term"].alias("term"), (F.coalesce(F.get(at, j + 1)["at"], F.size(s)) - x["at"]).alias("tf")))
+
+    counts = let(F.array_sort("t"), lambda s: let(begins(s), lambda at: counted(s, at)))
+    rows = held.select("key", dl.alias("dl"), F.inline(counts)).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)))
+    # frequent terms are many rows: buckets are split by key, so that none is one task's
+    rows.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+
+
+def bm25_stored_topk(spark, path: str, query: str, k: int, key: str = "chunk_id") -> DataFrame:
+    """What ``bm25_topk`` gives, from the postings at ``path``."""
+    terms = query_terms(query)
+    rows = spark.read.parquet(f"{path}/terms")
+    named = spark.range(len(terms)).select(F.pmod(F.xxhash64(F.get(F.array(*map(F.lit, terms or [""])), F.col("id").cast("int"))), F.lit(BUCKETS)).alias("b")).collect()
+    met = written(rows.where(F.col("bucket").isin([r.b for r in named]) & F.col("term").isin(terms)))
+    stats = spark.read.parquet(f"{path}/stats").first()
+    df = {r.term: r.d for r in met.groupBy("term").agg(F.count(F.lit(1)).alias("d")).collect()}  # the question's terms
+    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(float(stats.avgdl) or 1.0))
+    idf = F.lit(0.0)
+    for t, d in df.items():
+        idf = F.when(F.col("term") == t, F.lit(math.log(1 + (stats.n - d + 0.5) / (d + 0.5)))).otherwise(idf)
+    scored = met.groupBy("key").agg(F.round(F.sum(idf * F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + norm)), 6).alias("score"))
+    return ranked(scored.select(F.col("key").alias(key), "score").orderBy(F.desc("score"), key).limit(k), key)
+
+
 def ranked(best: DataFrame, key: str) -> DataFrame:
     """``rank`` from 1 over an already limited result."""
     return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), key)))
@@ -128,10 +171,15 @@ def caption(content: Column, terms: list[str]) -> Column:
     return F.array_min(scored)["s"]
 
 
-def hybrid_search(index: DataFrame, query: str, vector: list[float], top_k: int = TOP_K, content_type: str | None = None, source: str | None = None) -> DataFrame:
-    """Hits: the index's hit fields with _score, _rank and _caption, ``top_k`` best of twice as many from each side."""
+def hybrid_search(index: DataFrame, query: str, vector: list[float], top_k: int = TOP_K, content_type: str | None = None, source: str | None = None, postings: str | None = None) -> DataFrame:
+    """Hits: the index's hit fields with _score, _rank and _caption, ``top_k`` best of twice as many from each side.
+
+    Without a filter the lexical side may come from stored ``postings`` of ``searchable()``; with one, statistics are those of what passes it, and the texts are read.
+    """
     rows = filtered(index, content_type, source)
-    best = rrf(bm25_topk(rows, query, 2 * top_k, text=searchable()), vector_topk(rows, vector, 2 * top_k), top_k)
+    stored = postings is not None and not filters(content_type, source)
+    lexical = bm25_stored_topk(index.sparkSession, postings, query, 2 * top_k) if stored else bm25_topk(rows, query, 2 * top_k, text=searchable())
+    best = rrf(lexical, vector_topk(rows, vector, 2 * top_k), top_k)
     best = best.select("chunk_id", F.col("score").alias("_score"), F.col("rank").alias("_rank"))
     hits = rows.select(*[c for c in HIT_FIELDS if c in index.columns]).join(F.broadcast(best), "chunk_id")  # top_k rows
     return hits.withColumn("_caption", caption(F.col("content"), query_terms(query)))
@@ -234,6 +282,7 @@ def chat(
     reranking: bool = True,
     system: str = "",
     no_hits: str = NO_HITS,
+    postings: str | None = None,
 ) -> Answer:
     """Answers a question from the index.
 
@@ -249,7 +298,7 @@ def chat(
         turns = session.createDataFrame([([(t["role"], t["content"]) for t in history],)], "h array<struct<role:string,content:string>>")
         reply = refine(question, turns.select(recent_conversation(F.col("h")).alias("t")).first().t)
         asked = session.range(1).select(refined(F.lit(reply), F.lit(question)).alias("q")).first().q
-    hits = hybrid_search(index, asked, embedder([asked])[0], top_k, content_type, source)
+    hits = hybrid_search(index, asked, embedder([asked])[0], top_k, content_type, source, postings)
     best = written(rerank(hits, scorer or coverage(question), top_n)) if reranking else written(hits)
     order = [F.desc("_rerank_score"), "_rank"] if reranking else ["_rank"]
     context = build_context(best, order).first().context

@@ -609,6 +609,14 @@ def bm25_topk(spark, sf_dir):
     return R.bm25_topk(inputs.index(spark, sf_dir), QUESTION, 30, text=R.searchable())
 
 
+@query(f"WITH {bm25_sql(SEARCHED.format(INDEX))} {top('bm25', 30)}")
+def bm25_stored(spark, sf_dir):
+    """The same from a stored index of terms, which is written first."""
+    folder = shared_folder(spark)
+    R.write_postings(inputs.index(spark, sf_dir), folder, text=R.searchable())
+    return R.bm25_stored_topk(spark, folder, QUESTION, 30)
+
+
 SHOWN = "chunk_id, hits.score AS _score, hits.rank AS _rank, i.source, source_pdf_name, chunk_index, page_start, page_end, topic, subtopic, section_title, section, md5(content) AS content, content_type"
 
 

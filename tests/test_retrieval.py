@@ -29,6 +29,19 @@ def test_bm25(spark):
     assert R.bm25_topk(index(spark, ROWS), "?!", 10).count() == 0
 
 
+def test_stored_postings_give_the_same(spark, tmp_path):
+    ix, at = index(spark, ROWS + [("e", "", "text"), ("f", "Apple apple PIE", "text")]), str(tmp_path / "p")
+    R.write_postings(ix, at, text=R.searchable())
+    for q in ("apple PIE?", "nothing sky", "absent", "?!"):
+        want = [tuple(r) for r in R.bm25_topk(ix, q, 3, text=R.searchable()).orderBy("rank").collect()]
+        assert [tuple(r) for r in R.bm25_stored_topk(spark, at, q, 3).orderBy("rank").collect()] == want
+    vector = I.hash_embedding(["apple"])[0]
+    hits = lambda **o: R.hybrid_search(ix, "apple", vector, 3, **o).orderBy("_rank").collect()
+    assert hits(postings=at) == hits() and hits(postings=at, content_type="table") == hits(content_type="table")
+    plan = spark.read.parquet(f"{at}/terms").where("bucket = 3 and term = 'x'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(term,x)" in plan
+
+
 def test_vectors_and_fusion(spark):
     ix = index(spark, ROWS)
     near = R.vector_topk(ix, I.hash_embedding(["apple"])[0], 2).orderBy("rank").collect()
