@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import normalize_filter, strip
 from tessella.operators.indexing import INDEX_FIELDS
-from tessella.operators.layout import let
 from tessella.sources.scratch import written
 
 K1, B = 1.2, 0.75
@@ -89,7 +88,7 @@ def bm25_topk(docs: DataFrame, query: str, k: int, key: str = "chunk_id", text:
     return ranked(best, key)
 
 
-BUCKETS = 64
+BUCKETS = 16
 
 
 def write_postings(docs: DataFrame, path: str, key: str = "chunk_id", text: Column | str = "content") -> None:
@@ -101,16 +100,8 @@ def write_postings(docs: DataFrame, path: str, key: str = "chunk_id", text: Colu
     held = written(docs.select(F.col(key).alias("key"), tokens(F.coalesce(one, F.lit(""))).alias("t")))
     dl = F.size("t")
     held.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(dl), F.lit(0.0)).alias("avgdl")).write.mode("overwrite").parquet(f"{path}/stats")
-
-    # a row's own counts need no shuffle: its terms are sorted, and where one begins is the end of the one before
-    def begins(s: Column) -> Column:
-        return F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), F.struct(x.alias("term"), i.alias("at")))), lambda x: x.isNotNull())
-
-    def counted(s: Column, at: Column) -> Column:
-        return F.transform(at, lambda x, j: F.struct(x["term"].alias("term"), (F.coalesce(F.get(at, j + 1)["at"], F.size(s)) - x["at"]).alias("tf")))
-
-    counts = let(F.array_sort("t"), lambda s: let(begins(s), lambda at: counted(s, at)))
-    rows = held.select("key", dl.alias("dl"), F.inline(counts)).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)))
+    each = held.select("key", dl.alias("dl"), F.explode("t").alias("term")).groupBy("key", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    rows = each.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)))
     # frequent terms are many rows: buckets are split by key, so that none is one task's
     rows.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
 
