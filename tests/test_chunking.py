@@ -82,3 +82,10 @@ def test_metadata(spark):
     assert (m.source_pdf_name, m.source_pdf_url, m.total_pages, m.total_tables, m.doc_version, m.case_number) == ("a b.pdf", "https://x.org/a.pdf", 12, None, "1.2", "98-M-0667")
     [r] = chunk(spark, "d.md", "Source PDF at https://x.org/q/b.pdf?v=1 now", "")
     assert (r.source_pdf_name, r.source_pdf_url) == ("b.pdf", "https://x.org/q/b.pdf?v=1")
+
+
+def test_full_window_closes():
+    text, atom = (lambda n: ("x" * n, False)), (lambda n: ("y" * n, True))
+    sizes = lambda *p: [len(w) for w in C.pack(list(p))]
+    assert sizes(text(2380), atom(20), text(100)) == [2402, 100]  # filled exactly: closed, no tail goes along
+    assert sizes(text(2379), atom(20), text(100)) == [2401, 422]  # a character less: still open, the tail goes along
