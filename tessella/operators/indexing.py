@@ -17,9 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.sources.scratch import small_batches
+
 DIM = 64
 EMBED_BATCH = 4
 ATTEMPTS = 6
+#: calls whose texts and vectors are Python objects at once
+CALLS = 16
 # The index's schema, chunk columns in its order.
 INDEX_FIELDS = (
     "chunk_id", "source", "source_pdf_url", "source_pdf_name", "chunk_index", "page_start", "page_end", "heading_level", "topic", "subtopic",
@@ -43,8 +47,13 @@ def hash_embedding(texts: list[str]) -> list[list[float]]:
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).tolist()
 
 
-def embed(chunks: DataFrame, embedder: Callable[[list[str]], list[list[float]]] = hash_embedding, batch: int = EMBED_BATCH, attempts: int = ATTEMPTS, wait: float = 0.0) -> DataFrame:
-    """chunk_id, vector; each call gets at most ``batch`` texts and is repeated while the embedder is limited."""
+def embed(chunks: DataFrame, embedder: Callable[[list[str]], list[list[float]]] = hash_embedding, batch: int = EMBED_BATCH, attempts: int = ATTEMPTS, wait: float = 0.0, kind: str = "float") -> DataFrame:
+    """chunk_id, vector of ``kind``; each call gets at most ``batch`` texts and is repeated while the embedder is limited.
+
+    A worker holds the texts of a small Arrow batch, and as objects those of ``CALLS`` calls with their vectors, however many rows a task has.
+    """
+    small_batches(chunks.sparkSession)
+    step = batch * CALLS
 
     def call(texts: list[str]) -> list[list[float]]:
         for k in range(attempts):
@@ -55,12 +64,12 @@ def embed(chunks: DataFrame, embedder: Callable[[list[str]], list[list[float]]]
         raise RuntimeError(f"embedder still limited after {attempts} attempts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(k, step) for b in batches for k in range(0, b.num_rows, step)):
             texts = [t or "" for t in b.column("content").to_pylist()]
             vectors = [v for k in range(0, len(texts), batch) for v in call(texts[k : k + batch])]
-            yield pa.RecordBatch.from_arrays([b.column("chunk_id"), pa.array(vectors, pa.list_(pa.float32()))], ["chunk_id", "vector"])
+            yield pa.RecordBatch.from_arrays([b.column("chunk_id"), pa.array(vectors, pa.list_(pa.float64() if kind == "double" else pa.float32()))], ["chunk_id", "vector"])
 
-    return chunks.select("chunk_id", "content").mapInArrow(run, "chunk_id string, vector array<float>")
+    return chunks.select("chunk_id", "content").mapInArrow(run, f"chunk_id string, vector array<{kind}>")
 
 
 def vector_lines(lines: DataFrame) -> DataFrame:

@@ -525,8 +525,8 @@ def index_upsert(spark, sf_dir):
 )
 def embed_chunks(spark, sf_dir):
     chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"))
-    v = I.embed(chunks).select("chunk_id", F.posexplode("vector").alias("place", "value"))
-    return v.where("value <> 0").withColumn("value", F.round(F.col("value").cast("double"), 4))
+    v = I.embed(chunks, kind="double").select("chunk_id", F.posexplode("vector").alias("place", "value"))
+    return v.where("value <> 0").withColumn("value", F.round("value", 4))
 
 
 def _embedded_chunks(spark, sf_dir) -> tuple[DataFrame, DataFrame]:

@@ -42,3 +42,14 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+#: rows in an Arrow batch of texts; what the JVM and a Python worker hold of texts at once is in proportion to it
+BATCH = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH`` rows in the session from then on (unless it asks for fewer)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, str(BATCH))

@@ -63,3 +63,13 @@ def test_embedder_is_called_again(spark):
 
     with pytest.raises(Exception, match="still limited"):
         I.embed(rows, limited).collect()
+
+
+def test_embedding_holds_few_texts(spark):
+    def resident(texts):
+        with open("/proc/self/statm") as f:
+            return [[int(f.read().split()[1]) * 4096 / 1e6]] * len(texts)
+
+    rows = spark.range(3000).selectExpr("cast(id AS string) AS chunk_id", "repeat('a ', 50000) AS content").coalesce(1)  # 300 MB in one task
+    assert max(r.vector[0] for r in I.embed(rows, resident).collect()) < 350
+    assert I.embed(rows.limit(1), kind="double").schema["vector"].dataType.simpleString() == "array<double>"
