@@ -7,19 +7,22 @@ arithmetic over the scan and end in a top-k per partition: no shuffle of text.
 
 from __future__ import annotations
 
+import contextlib
 import datetime
 import math
 import re
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions.text import normalize_filter, strip
 from tessella.operators.indexing import INDEX_FIELDS
-from tessella.sources.scratch import written
+from tessella.sources.scratch import small_batches, written
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -89,29 +92,76 @@ def bm25_topk(docs: DataFrame, query: str, k: int, key: str = "chunk_id", text:
 
 
 BUCKETS = 16
+#: tokens whose postings one task sorts and writes as one file
+SEGMENT = 4_000_000
+#: rows whose terms are Python objects at once
+ROWS = 100
+#: runs of letters and digits of any script, as ``tokens`` has them
+TERM = re.compile(r"[^\W_]+")
+
+
+def _bucket(code: Column) -> Column:
+    return F.pmod(code, F.lit(BUCKETS)).cast("int")
+
+
+def term_counts(texts: DataFrame) -> DataFrame:
+    """(key, low) to key, dl, terms: every row's number of tokens, and struct<term, tf> of its distinct ones; ``low`` is in lower case."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
+            size, ends, terms, tf = [], [0], [], []
+            for t in b.column("low").to_pylist():
+                found = Counter(TERM.findall(t))
+                size.append(found.total())
+                terms += found.keys()
+                tf += found.values()
+                ends.append(len(terms))
+            pairs = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(tf, pa.int32())], ["term", "tf"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(size, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], ["key", "dl", "terms"])
+
+    small_batches(texts.sparkSession)
+    kind = texts.schema["key"].dataType.simpleString()
+    return texts.select("key", "low").mapInArrow(run, f"key {kind}, dl int, terms array<struct<term:string,tf:int>>")
 
 
 def write_postings(docs: DataFrame, path: str, key: str = "chunk_id", text: Column | str = "content") -> None:
-    """A stored text index: (term, key, tf, dl) by buckets of terms, sorted by term, and one row of statistics.
+    """A stored text index: (code, term, key, tf, dl) by buckets of terms, sorted by the terms' hash codes, and one row of statistics.
 
-    A later question reads the row groups of its own terms alone, not the texts.
+    A later question reads the pages of its own terms alone, not the texts. Terms are
+    counted within their row, so that postings are dealt out once and nothing else is.
     """
     one = F.col(text) if isinstance(text, str) else text
-    held = written(docs.select(F.col(key).alias("key"), tokens(F.coalesce(one, F.lit(""))).alias("t")))
-    dl = F.size("t")
-    held.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(dl), F.lit(0.0)).alias("avgdl")).write.mode("overwrite").parquet(f"{path}/stats")
-    each = held.select("key", dl.alias("dl"), F.explode("t").alias("term")).groupBy("key", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    rows = each.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)))
-    # frequent terms are many rows: buckets are split by key, so that none is one task's
-    rows.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    held = written(term_counts(docs.select(F.col(key).alias("key"), F.lower(F.coalesce(one, F.lit(""))).alias("low"))))
+    held.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")).write.mode("overwrite").parquet(f"{path}/stats")
+    stats = docs.sparkSession.read.parquet(f"{path}/stats").first()
+    rows = held.select("key", "dl", F.inline("terms")).withColumn("code", F.xxhash64("term"))
+    # frequent terms are many rows: buckets are split by key, into files of about one size
+    split = int(stats.n * stats.avgdl) // (BUCKETS * SEGMENT) + 1
+    part = _bucket(F.col("code")) * split + F.pmod(F.xxhash64("key"), F.lit(split)).cast("int")
+    rows = rows.repartitionById(BUCKETS * split, part).sortWithinPartitions("code").withColumn("bucket", _bucket(F.col("code")))
+    with one_writer_a_bucket(docs.sparkSession):
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+
+
+@contextlib.contextmanager
+def one_writer_a_bucket(spark):
+    """Rows are written in the order that they have, not sorted by bucket once more: a task has one bucket."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BUCKETS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def bm25_stored_topk(spark, path: str, query: str, k: int, key: str = "chunk_id") -> DataFrame:
     """What ``bm25_topk`` gives, from the postings at ``path``."""
     terms = query_terms(query)
     rows = spark.read.parquet(f"{path}/terms")
-    named = spark.range(len(terms)).select(F.pmod(F.xxhash64(F.get(F.array(*map(F.lit, terms or [""])), F.col("id").cast("int"))), F.lit(BUCKETS)).alias("b")).collect()
-    met = written(rows.where(F.col("bucket").isin([r.b for r in named]) & F.col("term").isin(terms)))
+    code = F.xxhash64(F.get(F.array(*map(F.lit, terms or [""])), F.col("id").cast("int")))
+    named = spark.range(len(terms)).select(code.alias("c"), _bucket(code).alias("b")).collect()
+    met = written(rows.where(F.col("bucket").isin([r.b for r in named]) & F.col("code").isin([r.c for r in named]) & F.col("term").isin(terms)))
     stats = spark.read.parquet(f"{path}/stats").first()
     df = {r.term: r.d for r in met.groupBy("term").agg(F.count(F.lit(1)).alias("d")).collect()}  # the question's terms
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(float(stats.avgdl) or 1.0))

@@ -1,5 +1,8 @@
+import glob
 import math
+from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +45,23 @@ def test_stored_postings_give_the_same(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(term,x)" in plan
 
 
+def test_postings_are_dealt_out_once(spark, tmp_path, monkeypatch):
+    odd = "İstanbul ΣΑΣ ΑΣ x_y ½ Ⅷ² 日本 naïve-e\u0301 \U0001d400 ٣٤ 'Straße' A1a a1A"
+    rows = spark.createDataFrame([("a", odd), ("b", "red red Red"), ("c", ""), ("d", None)], "chunk_id string, content string")
+    want = {r.chunk_id: Counter(r.t) for r in rows.select("chunk_id", R.tokens(F.coalesce("content", F.lit(""))).alias("t")).collect()}
+    got = {r.key: (r.dl, Counter(dict(r.terms))) for r in R.term_counts(rows.selectExpr("chunk_id AS key", "lower(coalesce(content, '')) AS low")).collect()}
+    assert got == {k: (c.total(), c) for k, c in want.items()}
+    monkeypatch.setattr(R, "SEGMENT", 1)  # the buckets are split
+    R.write_postings(rows, str(tmp_path / "p"))
+    read = {}
+    for f in glob.glob(f"{tmp_path}/p/terms/*/*.parquet"):
+        t = pq.ParquetFile(f).read().to_pylist()
+        assert [r["code"] for r in t] == sorted(r["code"] for r in t)
+        for r in t:
+            read.setdefault(r["key"], Counter())[r["term"]] += r["tf"]
+    assert read == {k: c for k, c in want.items() if c}
+
+
 def test_vectors_and_fusion(spark):
     ix = index(spark, ROWS)
     near = R.vector_topk(ix, I.hash_embedding(["apple"])[0], 2).orderBy("rank").collect()
